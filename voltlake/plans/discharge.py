@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.operators import badrows, faults
+from voltlake.operators import badrows, drift, faults
 from voltlake.runtime import materialize, once_per_key, read_table
 
 AMPLITUDE = faults.Field("absolute_amplitude", limit="adc_range_v")
@@ -71,7 +71,28 @@ def p4_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return badrows.valid_settings(parsed, badrows.rejected_lines(parsed))
 
 
+def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(spark, sf_dir, "settings_dump").select("file_id", "logger_id", "written_at", "record_no", "payload")
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes of each settings file against the file before it of the same logger."""
+    records = _settings(spark, sf_dir)
+    cells = materialize(drift.record_cells(records), "cells")
+    return drift.field_changes(cells, materialize(drift.file_sequence(records), "files"))[0]
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All settings records in one table: seconds, hertz, whole counts, rescued rest."""
+    records = _settings(spark, sf_dir)
+    cells = materialize(drift.record_cells(records), "cells")
+    renames = drift.field_changes(cells, materialize(drift.file_sequence(records), "files"))[1]
+    return drift.replay(materialize(drift.ingest(cells, records), "ingested"), drift.approved_names(renames))
+
+
 QUERIES = {
+    "p2_found": p2_found,
+    "p2_table": p2_table,
     "p4_found": p4_found,
     "p4_valid": p4_valid,
     "p5_found": p5_found,
