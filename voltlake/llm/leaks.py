@@ -23,8 +23,9 @@ SEPARATORS = "[^a-z0-9]+"
 ANCHOR_SPAN = 6
 #: Looked-up words that must agree in a document, over two offsets; offsets agree within a band.
 ANCHORS_NEEDED, BAND = 3, 8
-#: Terms more frequent than this per document carry no evidence of their own.
-COMMON_PER_DOC = 0.2
+#: Terms more frequent than this per document carry no evidence of their own, unless they
+#: are among the rarer words of their item (an item may leak into very many documents).
+COMMON_PER_DOC, RARER_SHARE = 0.2, 0.7
 #: Share of the item's words that a document must hold, and of a run's that must agree.
 SHARE, DENSITY = 0.4, 0.85
 #: Telling words that may be skipped at once, words added or dropped between two, and
@@ -74,8 +75,9 @@ def leaked_pairs(
     frequency = materialize(index.groupBy("term_id").agg(F.count("*").alias("cf")), "frequency")
     n_docs = max(docs.count(), 1)
     known = terms.join(small_side(vocabulary), "term").join(small_side(frequency), "term_id", "left")
-    known = known.withColumn("telling", F.coalesce(F.col("cf") <= COMMON_PER_DOC * n_docs, F.lit(True)))
     by_item = Window.partitionBy(item_key)
+    own_rank = F.percent_rank().over(by_item.orderBy(F.coalesce("cf", F.lit(0)), "term"))
+    known = known.withColumn("telling", (F.coalesce("cf", F.lit(0)) <= COMMON_PER_DOC * n_docs) | (own_rank <= RARER_SHARE))
     known = known.withColumn("n_words", F.count("*").over(by_item)).withColumn("rank", F.sum(F.col("telling").cast("int")).over(by_item.orderBy("i")))
     known = materialize(known, "terms")
     ahead = by_item.orderBy("i").rowsBetween(0, ANCHOR_SPAN - 1)
@@ -100,7 +102,7 @@ def leaked_pairs(
         F.countDistinct("i").alias("_found"), F.max("n_words").alias("n_words"), F.collect_list(F.struct("i", "j", "rank")).alias("met")
     )
     hopeful = grouped.join(small_side(totals), item_key).where(F.col("_found") >= F.greatest(F.lit(LEAST_RUN), share * 0.6 * F.col("n_telling")))
-    aligned = hopeful.select(key, item_key, "n_words", "met").mapInPandas(
+    aligned = hopeful.select(key, item_key, "n_words", "n_telling", "met").mapInPandas(
         _aligner(key, item_key, share), f"{key} long, {item_key} long, share_found double, runs int"
     )
     return aligned
@@ -110,18 +112,21 @@ def _aligner(key: str, item_key: str, share: float):
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for doc, item, n_words, met in zip(batch[key], batch[item_key], batch["n_words"], batch["met"], strict=True):
-                found, runs = best_runs([(m["i"], m["j"], m["rank"]) for m in met])
-                if found >= share * n_words - 1e-9:
-                    rows.append((doc, item, found / n_words, runs))
+            columns = (batch[c] for c in (key, item_key, "n_words", "n_telling", "met"))
+            for doc, item, n_words, n_telling, met in zip(*columns, strict=True):
+                held, telling, runs = best_runs([(m["i"], m["j"], m["rank"]) for m in met])
+                # words beyond a run's outer telling words are unseen: the larger estimate holds
+                found = max(held / n_words, telling / n_telling)
+                if found >= share - 1e-9:
+                    rows.append((doc, item, found, runs))
             yield pd.DataFrame(rows, columns=[key, item_key, "share_found", "runs"])
 
     return align
 
 
-def best_runs(met: list[tuple[int, int, int]]) -> tuple[int, int]:
-    """(words held, number of runs) of the best one or two runs among matching words
-    (item position, document position, rank among the item's telling words)."""
+def best_runs(met: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+    """(words held, telling words held, number of runs) of the best one or two runs among
+    matching words (item position, document position, rank among the item's telling words)."""
     met = sorted(set(met))
     by_rank: dict[int, list[tuple[int, int]]] = {}
     chain: dict[tuple[int, int], tuple[int, int, int, int]] = {}  # (i, j) -> length, start i, start j, start rank
@@ -134,23 +139,23 @@ def best_runs(met: list[tuple[int, int, int]]) -> tuple[int, int]:
         chain[i, j] = best
         by_rank.setdefault(rank, []).append((i, j))
     ranks = {(i, j): rank for i, j, rank in met}
-    ends: dict[tuple[int, int], tuple[int, int, int, int, int]] = {}
+    ends: dict[tuple[int, int], tuple[int, int, int, int, int, int]] = {}
     for (i, j), (n, i0, j0, r0) in chain.items():
         span = ranks[i, j] - r0 + 1
         if n >= LEAST_RUN and n >= DENSITY * span:
             held = (i - i0 + 1) - (span - n)
             if held > ends.get((i0, j0), (0,))[0]:
-                ends[i0, j0] = (held, i0, i, j0, j)
+                ends[i0, j0] = (held, i0, i, j0, j, n)
     runs = sorted(ends.values(), reverse=True)
-    best, count = 0, 0
+    best, telling, count = 0, 0, 0
     for k, a in enumerate(runs):
         if a[0] > best:
-            best, count = a[0], 1
+            best, telling, count = a[0], a[5], 1
         if a[0] * 2 <= best:
             break
         for b in runs[k + 1 :]:
             if a[0] + b[0] <= best:
                 break
             if (a[2] < b[1] and a[4] < b[3]) or (b[2] < a[1] and b[4] < a[3]):
-                best, count = a[0] + b[0], 2
-    return best, count
+                best, telling, count = a[0] + b[0], a[5] + b[5], 2
+    return best, telling, count
