@@ -86,23 +86,17 @@ def _place_ranks(counts: DataFrame, group: list[str], order: str, ranks) -> Data
     return counted.withColumn("_before", before).withColumn("_hits", hits).where(F.size("_hits") > 0)
 
 
-def exact_percentiles(
+def order_statistics(
     df: DataFrame,
     groupings: Sequence[Sequence[str]],
     measures: Sequence[str],
-    probs: Sequence[float],
+    ranks,
     resolution: int = RESOLUTION,
     splits: int = SPLITS,
     leaf_rows: int = LEAF_ROWS,
-) -> DataFrame:
-    """Exact percentiles (linear between neighbouring order statistics) for every grouping.
-
-    Returns one row per grouping, group, measure and probability: ``grouping`` (its
-    position), all key columns (null where not in the grouping), ``measure``, ``prob``,
-    ``n_values``, ``value``. Null, NaN and infinite values do not count; groups without
-    a finite value do not appear. A null key is a group of its own. No group is ever
-    sorted or gathered whole: ``leaf_rows`` bounds what one window sees.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """(statistics, totals): per grouping, group and measure the values ``x`` of the ranks
+    ``k`` (from 0) that ``ranks`` makes of the number of values, and that number."""
     keys = list(dict.fromkeys(k for g in groupings for k in g))
     rows = long_measures(df, keys, measures).withColumn("bucket", value_bucket(F.col("v"), resolution))
     finest = (
@@ -122,7 +116,7 @@ def exact_percentiles(
     for level in levels[1:]:
         counts = counts.unionByName(level)
     group = ["grouping", *keys, "measure"]
-    placed = materialize(_place_ranks(counts, group, "bucket", _both_ranks(probs)), "ranks")
+    placed = materialize(_place_ranks(counts, group, "bucket", ranks), "ranks")
     totals = placed.groupBy(*group).agg(F.max("_total").alias("n_values"))
     point = F.col("lo") == F.col("hi")
     stats = placed.where(point).select(*group, F.explode("_hits").alias("k"), F.col("lo").alias("x"))
@@ -182,6 +176,28 @@ def exact_percentiles(
         intervals = again.select(
             *group, "bucket", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "n", "_before", "_hits", F.col("inner").alias("interval")
         )
+    return stats, totals
+
+
+def exact_percentiles(
+    df: DataFrame,
+    groupings: Sequence[Sequence[str]],
+    measures: Sequence[str],
+    probs: Sequence[float],
+    resolution: int = RESOLUTION,
+    splits: int = SPLITS,
+    leaf_rows: int = LEAF_ROWS,
+) -> DataFrame:
+    """Exact percentiles (linear between neighbouring order statistics) for every grouping.
+
+    Returns one row per grouping, group, measure and probability: ``grouping`` (its
+    position), all key columns (null where not in the grouping), ``measure``, ``prob``,
+    ``n_values``, ``value``. Null, NaN and infinite values do not count; groups without
+    a finite value do not appear. A null key is a group of its own. No group is ever
+    sorted or gathered whole: ``leaf_rows`` bounds what one window sees.
+    """
+    group = ["grouping", *dict.fromkeys(k for g in groupings for k in g), "measure"]
+    stats, totals = order_statistics(df, groupings, measures, _both_ranks(probs), resolution, splits, leaf_rows)
     wanted = totals.select(*group, "n_values", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).withColumn(
         "_r", F.col("prob") * (F.col("n_values") - 1)
     )
