@@ -85,7 +85,8 @@ def leaked_pairs(
     anchors = known.select(item_key, rarest.alias("a")).where(F.col("a").isNotNull()).select(item_key, "a.i", "a.term_id").distinct()
     hits = index.join(small_side(anchors), "term_id").withColumn("_band", F.floor((F.col("j") - F.col("i")) / BAND))
     hits = hits.select(key, item_key, "i", F.explode(F.array(F.col("_band"), F.col("_band") + 1)).alias("band"))
-    bands = hits.groupBy(key, item_key, "band").agg(F.countDistinct("i").alias("n"))
+    # repeated looked-up words only add to a count that proposes pairs; the alignment uses sets
+    bands = hits.groupBy(key, item_key, "band").agg(F.count("*").alias("n"))
     best = F.row_number().over(Window.partitionBy(key, item_key).orderBy(F.desc("n"), "band"))
     # the two bands that share an offset count as one: take the best and the best that is not beside it
     first = bands.withColumn("_r", best).withColumn("_at", F.first("band").over(Window.partitionBy(key, item_key).orderBy(F.desc("n"), "band")))
@@ -95,7 +96,7 @@ def leaked_pairs(
     pairs = scored.where(F.col("one") + F.coalesce("two", F.lit(0)) >= ANCHORS_NEEDED).select(key, item_key)
     telling = known.where("telling")
     wanted = small_side(telling.select("term_id", item_key, "i", "rank", "n_words"))
-    postings = index.join(small_side(telling.select("term_id").distinct()), "term_id", "left_semi").distinct()
+    postings = index.join(small_side(telling.select("term_id").distinct()), "term_id", "left_semi")
     met = postings.join(pairs, key).join(wanted, ["term_id", item_key])
     totals = telling.groupBy(item_key).agg(F.count("*").alias("n_telling"))
     grouped = met.groupBy(key, item_key).agg(
