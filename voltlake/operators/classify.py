@@ -138,8 +138,10 @@ def score_texts(columns: Sequence[str], rules: Sequence[Rule] = RULES) -> dict[s
     return {k: " + ".join(v) for k, v in scores.items()}
 
 
-def decision_texts(columns: Sequence[str]) -> dict[str, str]:
-    """SQL expressions for ``pd_type`` and ``confidence`` from the score columns."""
+def decision_texts(columns: Sequence[str], noise: str = "", surface: str = "", pair: str = "") -> dict[str, str]:
+    """SQL expressions for ``pd_type`` and ``confidence`` from the score columns; the
+    least scores may be columns too."""
+    noise_limit, surface_limit, pair_limit = noise or num(NOISE_LIMIT), surface or num(SURFACE_LIMIT), pair or num(PAIR_LIMIT)
 
     def get(feature: str, default: float) -> str:
         column = lookup(feature, default, columns)
@@ -153,15 +155,15 @@ def decision_texts(columns: Sequence[str]) -> dict[str, str]:
     skip = f"({spread} > {SPREAD_LIMIT} AND ({like_corona} OR {get('spectral_power_low', 0.0)} > 7e-1))"
     steps = [
         (f"{many} AND NOT {kept}", "'NOISE_MULTIPULSE'", "9e-1"),
-        (f"round({noise}, 9) >= {num(NOISE_LIMIT)}", "'NOISE'", f"least(5e-1 + {noise}, 9.5e-1)"),
+        (f"round({noise}, 9) >= {noise_limit}", "'NOISE'", f"least(5e-1 + {noise}, 9.5e-1)"),
         (f"{spread} > {SPREAD_LIMIT} AND NOT {skip}", "'SURFACE'", "8.5e-1"),
-        (f"NOT {skip} AND surface >= {SURFACE_LIMIT}", "'SURFACE'", f"least(5e-1 + 4e-1 * surface / {num(SURFACE_MOST)}, 9e-1)"),
-        (f"corona >= {PAIR_LIMIT} AND corona > internal", "'CORONA'", f"least(5e-1 + 4e-1 * corona / {num(PAIR_MOST)}, 9.5e-1)"),
-        (f"internal >= {PAIR_LIMIT} AND internal > corona", "'INTERNAL'", f"least(5e-1 + 4e-1 * internal / {num(PAIR_MOST)}, 9.5e-1)"),
-        (f"corona >= {PAIR_LIMIT} AND internal >= {PAIR_LIMIT} AND {get('discharge_asymmetry', 0.0)} < -2e-1", "'CORONA'", "6e-1"),
-        (f"corona >= {PAIR_LIMIT} AND internal >= {PAIR_LIMIT}", "'INTERNAL'", "6e-1"),
-        (f"corona > internal AND corona >= {PAIR_LIMIT / 2}", "'CORONA'", "4.5e-1"),
-        (f"internal > corona AND internal >= {PAIR_LIMIT / 2}", "'INTERNAL'", "4.5e-1"),
+        (f"NOT {skip} AND surface >= {surface_limit}", "'SURFACE'", f"least(5e-1 + 4e-1 * surface / {num(SURFACE_MOST)}, 9e-1)"),
+        (f"corona >= {pair_limit} AND corona > internal", "'CORONA'", f"least(5e-1 + 4e-1 * corona / {num(PAIR_MOST)}, 9.5e-1)"),
+        (f"internal >= {pair_limit} AND internal > corona", "'INTERNAL'", f"least(5e-1 + 4e-1 * internal / {num(PAIR_MOST)}, 9.5e-1)"),
+        (f"corona >= {pair_limit} AND internal >= {pair_limit} AND {get('discharge_asymmetry', 0.0)} < -2e-1", "'CORONA'", "6e-1"),
+        (f"corona >= {pair_limit} AND internal >= {pair_limit}", "'INTERNAL'", "6e-1"),
+        (f"corona > internal AND corona >= {pair_limit} / 2", "'CORONA'", "4.5e-1"),
+        (f"internal > corona AND internal >= {pair_limit} / 2", "'INTERNAL'", "4.5e-1"),
     ]
     kind = "CASE " + " ".join(f"WHEN {c} THEN {k}" for c, k, _ in steps) + " ELSE 'UNKNOWN' END"
     sure = "CASE " + " ".join(f"WHEN {c} THEN {s}" for c, _, s in steps) + " ELSE 3e-1 END"

@@ -20,7 +20,7 @@ NUDGE = 1 + 2e-12
 def digits(c: Column, n: int = 9) -> Column:
     """The value with ``n`` digits after the first, so that sums in any order agree; the
     factor keeps halves of the last digit from depending on the engine."""
-    return F.format_string(f"%.{n}e", c * F.lit(NUDGE) + F.lit(0.0)).cast("double")
+    return F.format_string(f"%.{n}e", c * F.lit(NUDGE) + F.lit(0.0)).try_cast("double")
 
 
 def pulses(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
