@@ -278,6 +278,8 @@ def window_bounds(w: np.ndarray, dt: float, method: str) -> tuple[int, int]:
         half = max(1, int(float(method[4:]) * 1e-6 / dt / 2))
         return max(0, p - half), min(n, p + half)
     if method == "derivative":
+        if n < 2:
+            return 0, n
         slope = np.abs(np.gradient(gaussian(a[None, :], 2.0)[0]))
         over = np.flatnonzero(slope > 0.05 * slope.max()) if slope.max() > 0 else np.array([0, n - 1])
         return max(0, int(over[0]) - 20), min(n, int(over[-1]) + 21)

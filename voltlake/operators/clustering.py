@@ -69,11 +69,12 @@ def _near_pairs(points: DataFrame, others: DataFrame, columns: Sequence[str], wi
 def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5, rounds: int = 24) -> DataFrame:
     """(group, key, distance) to the k-th nearest row of the group, itself counted; groups
     of fewer rows have none. Rows that do not find k neighbours within a cell's width
-    look again in cells twice as wide, so dense places stay cheap and the result exact."""
+    look again in cells twice as wide, so dense places stay cheap and the result exact:
+    the first width is far below that of evenly spread rows, as clusters are dense."""
     base = materialize(rows.select(F.col(group).alias("g"), F.col(key).alias("id"), *columns), "rows")
     sizes = base.groupBy("g").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"r_{c}") for c in columns]).where(F.col("n") >= k)
     span = F.greatest(*[F.col(f"r_{c}") for c in columns])
-    start = F.greatest(span * F.pow(F.lit(float(k)) / F.col("n"), F.lit(1.0 / len(columns))) / 4, F.lit(1e-9))
+    start = F.greatest(span * F.pow(F.lit(float(k)) / F.col("n"), F.lit(1.0 / len(columns))) / 32, F.lit(1e-9))
     widths = materialize(sizes.select(F.col("g").alias("wg"), start.alias("w")), "widths")
     open_ = base.join(small_side(widths), base["g"].eqNullSafe(F.col("wg"))).drop("wg")
     others = materialize(open_, "points")

@@ -17,9 +17,13 @@ DEFAULTS = {"sample_interval": 4e-9, "ac_frequency": 60.0}
 FORMATS = {"rugged": r"-WFMs\.txt$", "tektronix": r"\.wfm$", "pdn": r"\.pdn$", "mat": r"\.mat$"}
 
 
+def plain_name(name: Column) -> Column:
+    """A file name as it is: Spark reports it with escapes."""
+    return F.try_url_decode(F.regexp_replace(name, r"\+", "%2B"))
+
+
 def _prefix(suffix: str) -> Column:
-    name = F.regexp_extract(F.col("_metadata.file_name"), rf"^(.*)-{suffix}\.txt$", 1)
-    return name
+    return F.regexp_extract(plain_name(F.col("_metadata.file_name")), rf"^(.*)-{suffix}\.txt$", 1)
 
 
 def _files(spark: SparkSession, path: str, suffix: str) -> DataFrame:
@@ -61,14 +65,14 @@ def settings(spark: SparkSession, path: str) -> DataFrame:
 def metadata(spark: SparkSession, path: str) -> DataFrame:
     """The noise summaries in ``{prefix}-metadata.json`` files."""
     raw = spark.read.option("pathGlobFilter", "*-metadata.json").option("recursiveFileLookup", "true").text(path, wholetext=True)
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)-metadata\.json$", 1)
+    name = F.regexp_extract(plain_name(F.col("_metadata.file_name")), r"^(.*)-metadata\.json$", 1)
     return raw.select(name.alias("dataset"), F.from_json("value", "map<string,double>").alias("facts"))
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
     """(dataset, format_type, files): data sets by the format their file names show."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"))
-    name = F.regexp_replace("name", "%20", " ")
+    name = plain_name(F.col("name"))
     kind = F.lit(None).cast("string")
     for k, pattern in reversed(FORMATS.items()):
         kind = F.when(name.rlike(pattern), k).otherwise(kind)
