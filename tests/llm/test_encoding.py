@@ -35,7 +35,7 @@ def corpus():
 @pytest.fixture(scope="module")
 def labelled(spark):
     docs, bad = corpus()
-    quotes = {2000: "A display showing “Ã¼” in place of “ü” is wrong.", 2001: "The terminal echoes Ã¶ where the sign ö was typed."}
+    quotes = {2000: "A display showing “Ã¼” in place of “ü” is wrong.", 2001: "The terminal echoes Ã¶ where the sign ö was typed.", 2002: "The terminal echoes â€“ where the sign – was typed.", 2003: "Prior terminals print ‘â€™’ for ‘’’, which is avoided."}
     rest = {3000: None, 3001: "", 3002: "plain ASCII " * 20_000}
     rows = [*docs.items(), *bad.items(), *quotes.items(), *rest.items(), (1000, bad[1000])]
     frame = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, restored string")

@@ -220,11 +220,13 @@ class Labeller:
         matches = list(_CHAR.finditer(text))
         skipped: set[int] = set()
         for m in matches:
-            inner = m.group(2).strip("“”‘’«»")
-            if len(inner) > 1:
-                at = m.start(2) + m.group(2).find(inner)
-                if named := self.cited(text, at, at + len(inner)):
-                    skipped.update((at, *named))
+            raw = m.group(2)
+            # quotation marks may enclose the sequence or be its last sign
+            for lead in {0, int(raw[0] in EDGE)}:
+                for tail in {0, int(raw[-1] in EDGE)}:
+                    at, end = m.start(2) + lead, m.end(2) - tail
+                    if end - at > 1 and (named := self.cited(text, at, end)):
+                        skipped.update((at, *named))
         runs, gains, lost = [], [], []
         for m in matches:
             start, end = m.start(2), m.end(2)
