@@ -167,7 +167,45 @@ reasons AS (
   FROM judged)
 """
 
+_P2_SQL = r"""
+WITH once AS (SELECT file_id, record_no, min(logger_id) AS l, min(written_at) AS w, min(payload) AS p FROM settings_dump GROUP BY file_id, record_no),
+files AS (SELECT file_id, min(l) AS l, min(w) AS w FROM once GROUP BY file_id),
+seq AS (SELECT file_id, lead(file_id) OVER (PARTITION BY l ORDER BY w, file_id) AS nxt FROM files),
+docs AS (SELECT file_id, record_no, p::JSON AS j FROM once WHERE json_valid(p) AND json_type(p) = 'OBJECT'),
+keyed AS (SELECT file_id, record_no, j ->> 'dataset' AS ds, unnest(json_keys(j)) AS key, j FROM docs),
+val AS (SELECT file_id, record_no, ds, key, json_extract(j, '$."' || key || '"') AS v FROM keyed WHERE key <> 'dataset'),
+c AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'text' WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'list' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind,
+  trim(CASE json_type(v) WHEN 'OBJECT' THEN coalesce(v ->> '$.value', v::VARCHAR) WHEN 'ARRAY' THEN coalesce(v ->> '$[0]', v::VARCHAR) ELSE v ->> '$' END) AS t FROM val),
+d AS (SELECT * REPLACE (CASE WHEN lower(t) NOT IN ('', 'n/a', 'na', 'nan', 'none', 'null', '-') THEN t END AS t) FROM c),
+e AS (SELECT *, try_cast(nullif(regexp_extract(t, '^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*[^\s0-9.,+-]{0,8}\s*$', 1), '') AS DOUBLE) AS num FROM d),
+votes AS (SELECT file_id, key, kind, count(*) AS n FROM c WHERE kind IS NOT NULL GROUP BY ALL),
+major AS (SELECT file_id, key, arg_max(kind, (n, -list_position(['number', 'text', 'object', 'list', 'boolean'], kind))) AS kind FROM votes GROUP BY file_id, key),
+h AS (SELECT f.file_id, f.key, m.kind FROM (SELECT DISTINCT file_id, key FROM c) f LEFT JOIN major m ON m.file_id = f.file_id AND m.key = f.key),
+nw AS (SELECT file_id AS pair, key, kind FROM h WHERE file_id IN (SELECT nxt FROM seq WHERE nxt IS NOT NULL)),
+od AS (SELECT nxt AS pair, key, kind FROM h JOIN seq USING (file_id) WHERE nxt IS NOT NULL),
+cmp AS (SELECT coalesce(nw.pair, od.pair) AS pair, coalesce(nw.key, od.key) AS key, nw.kind AS kn, od.kind AS ko, nw.key IS NOT NULL AS has_n, od.key IS NOT NULL AS has_o
+  FROM nw FULL JOIN od ON od.pair = nw.pair AND od.key = nw.key),
+ov AS (SELECT s.nxt AS pair, e.ds, e.key, arg_max(t, record_no) AS s0, arg_max(coalesce(num, 'nan'::DOUBLE), record_no) AS q0
+  FROM e JOIN seq s USING (file_id) WHERE t IS NOT NULL AND ds IS NOT NULL AND s.nxt IS NOT NULL GROUP BY ALL),
+nv AS (SELECT file_id AS pair, ds, key, arg_min(t, record_no) AS s1, arg_min(coalesce(num, 'nan'::DOUBLE), record_no) AS q1 FROM e WHERE t IS NOT NULL AND ds IS NOT NULL GROUP BY ALL),
+met AS (SELECT o.pair, o.key AS b, n.key AS a, s0, s1, CASE WHEN isnan(q0) THEN NULL ELSE q0 END AS n0, CASE WHEN isnan(q1) THEN NULL ELSE q1 END AS n1
+  FROM ov o JOIN nv n ON n.pair = o.pair AND n.ds = o.ds JOIN cmp x ON x.pair = o.pair AND x.key = o.key AND NOT x.has_n JOIN cmp y ON y.pair = n.pair AND y.key = n.key AND NOT y.has_o),
+jd AS (SELECT pair, b, a, n0 = 0 AND n1 = 0 AS zero, CASE WHEN n1 <> 0 AND n0 / n1 > 0 THEN round(log10(n0 / n1) / 3)::INTEGER END AS k, n0, n1, s0, s1 FROM met WHERE (n0 IS NULL) = (n1 IS NULL)),
+ag AS (SELECT *, CASE WHEN n0 IS NOT NULL THEN coalesce(zero OR (abs(k) <= 4 AND abs(n0 / n1 / pow(1000.0, k) - 1) <= 1e-6), false) ELSE lower(s0) = lower(s1) END AS ok FROM jd),
+pw AS (SELECT pair, b, a, CASE WHEN ok AND NOT coalesce(zero, false) THEN coalesce(k, 0) END AS k, count(*) AS n, count(*) FILTER (WHERE ok) AS ok FROM ag GROUP BY ALL),
+sc AS (SELECT pair, b, a, sum(n) AS n, coalesce(max(ok) FILTER (WHERE k IS NOT NULL), 0) + coalesce(sum(ok) FILTER (WHERE k IS NULL), 0) AS ok,
+  coalesce(arg_max(k, (ok, -abs(k), k)) FILTER (WHERE k IS NOT NULL), 0) AS k FROM pw GROUP BY pair, b, a),
+rk AS (SELECT *, row_number() OVER (PARTITION BY pair, b ORDER BY ok DESC, n, abs(k), a) AS r0, row_number() OVER (PARTITION BY pair, a ORDER BY ok DESC, n, abs(k), b) AS r1 FROM sc WHERE ok * 2 > n),
+rn AS (SELECT pair, b, a FROM rk WHERE r0 = 1 AND r1 = 1)
+SELECT pair AS file_id, 'renamed' AS change_kind, b AS field_before, a AS field_after FROM rn
+UNION ALL SELECT rn.pair, 'retyped', b, a FROM rn JOIN cmp x ON x.pair = rn.pair AND x.key = b JOIN cmp y ON y.pair = rn.pair AND y.key = a WHERE x.ko <> y.kn
+UNION ALL SELECT pair, 'retyped', key, key FROM cmp WHERE has_n AND has_o AND kn <> ko
+UNION ALL SELECT pair, 'removed', key, '' FROM cmp WHERE NOT has_n AND NOT EXISTS (SELECT 1 FROM rn WHERE rn.pair = cmp.pair AND rn.b = cmp.key)
+UNION ALL SELECT pair, 'added', '', key FROM cmp WHERE NOT has_o AND NOT EXISTS (SELECT 1 FROM rn WHERE rn.pair = cmp.pair AND rn.a = cmp.key)
+"""
+
 SQL = {
+    "p2_found": _P2_SQL,
     "p4_found": _P4_PARSED + "SELECT line_id, reason FROM reasons WHERE reason IS NOT NULL",
     "p4_valid": _P4_PARSED
     + "SELECT line_id, cells[1] AS prefix, "
