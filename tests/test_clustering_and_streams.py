@@ -128,3 +128,35 @@ def test_wavelet_blocks_agree_with_the_whole(spark):
             at = (k << level) + (1 << (level - 1))
             if 100 < at < 4900:
                 assert got[f"D{level}", at] == pytest.approx(v, abs=1e-9)
+
+
+def test_rate_threshold_against_a_count(spark):
+    x = np.random.default_rng(9).normal(size=3000)
+    df = spark.createDataFrame([("c", i, float(v)) for i, v in enumerate(x)], "ch string, i long, x double")
+    levels = spark.createDataFrame([("c", 0.0, 1 / 1.4826, 3000)], "ch string, baseline double, mad double, n_values long")
+    got = streams.pulse_rate_threshold(df, "ch", "i", "x", levels, 100, 5.0, lowest=0.5, highest=4.0, step=0.1).first()
+
+    def rate(t):
+        up = ((x[1:] > t) & (x[:-1] <= t)).sum()
+        down = ((-x[1:] > t) & (-x[:-1] <= t)).sum()
+        return (up + down) / 30
+
+    assert got["per_cycle"] == pytest.approx(rate(got["threshold"])) and got["per_cycle"] <= 5.0
+    assert rate(got["threshold"] - 0.1) > 5.0
+
+
+def test_sine_fit(spark):
+    i = np.arange(4000)
+    x = 3.0 * np.sin(2 * np.pi * i / 51.0 + np.radians(40)) + 7.0
+    df = spark.createDataFrame([("c", int(k), float(v)) for k, v in enumerate(x)], "ch string, i long, x double")
+    got = streams.sine_fit(df, "ch", "i", "x", 50.0, spread=0.1, steps=100).first()
+    assert got["period"] == pytest.approx(51.0, abs=0.06)
+    assert got["amplitude"] == pytest.approx(3.0, rel=0.1)
+
+
+def test_mutual_information(spark):
+    rng = np.random.default_rng(6)
+    rows = [(1, k % 2, float(k % 2), float(rng.random()), 5.0, None) for k in range(2000)]
+    df = spark.createDataFrame(rows, "ds int, y int, same double, noise double, flat double, none double")
+    got = {r["feature"]: r["information"] for r in analytics.mutual_information(df, "ds", "y", ["same", "noise", "flat", "none"]).collect()}
+    assert got["same"] == pytest.approx(1.0) and got["noise"] < 0.05 and got["flat"] == 0.0 and "none" not in got

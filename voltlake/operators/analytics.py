@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.operators import classify
@@ -89,6 +89,23 @@ def anova(rows: DataFrame, group: str, label: str, columns: Sequence[str]) -> Da
     return whole.select(group, "feature", "n", "labels", F.coalesce(F.when(ok, f), F.lit(0.0)).alias("f_value"))
 
 
+def mutual_information(rows: DataFrame, group: str, label: str, columns: Sequence[str], bins: int = 10) -> DataFrame:
+    """(group, feature, n, information): mutual information in bits between a feature in
+    ``bins`` equal steps of its range within the group and the label; missing and infinite
+    values do not count, constant features have 0."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in columns]))
+    long = rows.select(F.col(group).alias("g"), F.col(label).alias("y"), cells.alias("c")).select("g", "y", "c.feature", "c.v")
+    long = long.where(F.col("v").isNotNull() & ~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))))
+    span = long.groupBy("g", "feature").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).withColumnsRenamed({"g": "_g", "feature": "_f"})
+    joined = long.join(span, long["g"].eqNullSafe(span["_g"]) & (long["feature"] == span["_f"]))
+    step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col("v") - F.col("lo")) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")) * bins))
+    counts = joined.groupBy("g", "feature", "y", F.least(F.coalesce(step, F.lit(0)), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"))
+    by = lambda *k: Window.partitionBy("g", "feature", *k)
+    full = counts.withColumn("nb", F.sum("n").over(by("b"))).withColumn("ny", F.sum("n").over(by("y"))).withColumn("nn", F.sum("n").over(by()))
+    part = F.col("n") / F.col("nn") * F.log2(F.col("n") * F.col("nn") / (F.col("nb") * F.col("ny")))
+    return full.groupBy("g", "feature").agg(F.max("nn").alias("n"), F.sum(part).alias("information")).withColumnRenamed("g", group)
+
+
 def grid_search(groups: DataFrame, expected: str, weight: str, grid: DataFrame) -> DataFrame:
     """(grid columns, n, accuracy): every threshold combination judged over all groups;
     NOISE accepts NOISE_MULTIPULSE. ``groups`` has the score columns; ``grid`` the limits

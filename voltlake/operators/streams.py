@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.functions import kernels
@@ -144,3 +144,62 @@ def zero_crossing_phase(samples: DataFrame, channel: str, index: str, value: str
     phase = F.when(right > left, (F.col(index) - left) / (right - left) * 360)
     return full.select(channel, index, phase.alias("phase"))
 
+
+
+def pulse_rate_threshold(
+    samples: DataFrame, channel: str, index: str, value: str, levels: DataFrame, per_cycle: int, target: float, lowest: float = 3.0, highest: float = 20.0, step: float = 0.1
+) -> DataFrame:
+    """(channel, k_sigma, threshold, per_cycle): the least multiple of the robust deviation
+    (on a grid) at which rising and falling crossings per cycle do not exceed ``target``;
+    the highest multiple if none does. ``levels``: channel, baseline, mad, n_values.
+
+    A crossing of every level between two samples is two marks, one where it begins and
+    one where it ends, so one aggregation counts the crossings of all levels at once.
+    """
+    grid = int(round((highest - lowest) / step))
+    side = small_side(levels.select(F.col(channel).alias("_lc"), "baseline", (F.col("mad") * 1.4826).alias("sigma"), "n_values"))
+    prev = with_neighbour(samples, channel, index, value)
+    rows = prev.join(side, prev[channel].eqNullSafe(side["_lc"])).where((F.col("sigma") > 0) & F.col("_before").isNotNull())
+
+    def level(x: Column) -> Column:
+        """The first grid level that is not below x."""
+        return F.greatest(F.lit(0), F.least(F.lit(grid + 1), F.ceil(F.round((x / F.col("sigma") - lowest) / step, 9)))).cast("int")
+
+    now, was = F.col(value) - F.col("baseline"), F.col("_before") - F.col("baseline")
+    marks = F.array(
+        F.struct(level(was).alias("b"), level(now).alias("e")), F.struct(level(-was).alias("b"), level(-now).alias("e"))
+    )
+    spans = rows.select(channel, F.explode(marks).alias("m")).where(F.col("m.b") < F.col("m.e"))
+    steps = spans.select(channel, F.explode(F.array(F.struct(F.col("m.b").alias("at"), F.lit(1).alias("d")), F.struct(F.col("m.e").alias("at"), F.lit(-1).alias("d")))).alias("s"))
+    marked = steps.groupBy(channel, "s.at").agg(F.sum("s.d").alias("d"))
+    every = side.where(F.col("sigma") > 0).withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(grid))))
+    full = every.join(marked.withColumnsRenamed({channel: "_mc", "at": "_at"}), every["_lc"].eqNullSafe(F.col("_mc")) & (every["at"] == F.col("_at")), "left")
+    count = F.sum(F.coalesce("d", F.lit(0))).over(Window.partitionBy("_lc").orderBy("at"))
+    rated = full.withColumn("rate", count / (F.col("n_values") / per_cycle))
+    best = rated.groupBy("_lc").agg(
+        F.coalesce(F.min(F.when(F.col("rate") <= target, F.struct("at", "rate"))), F.max(F.struct("at", "rate"))).alias("b"), F.max("sigma").alias("sigma")
+    )
+    k = F.lit(lowest) + F.col("b.at") * step
+    return best.select(F.col("_lc").alias(channel), k.alias("k_sigma"), (k * F.col("sigma")).alias("threshold"), F.col("b.rate").alias("per_cycle"))
+
+
+def sine_fit(samples: DataFrame, channel: str, index: str, value: str, period: float, spread: float = 0.1, steps: int = 40) -> DataFrame:
+    """(channel, period, amplitude, phase): the sine of the best period within ``spread``
+    of the nominal one. For every period on a grid the least-squares sine follows from
+    sums over the channel; the phase is that of the sample with index 0."""
+    means = small_side(samples.groupBy(channel).agg(F.avg(value).alias("_m")).withColumnRenamed(channel, "_mc"))
+    rows = samples.join(means, samples[channel].eqNullSafe(means["_mc"])).select(channel, F.col(index).alias("_i"), (F.col(value) - F.col("_m")).alias("_x"))
+    grid = F.explode(F.array(*[F.lit(period * (1 - spread + 2 * spread * k / steps)) for k in range(steps + 1)]))  # a fixed grid
+    turn = F.col("_i") * (2 * np.pi) / F.col("period")
+    sums = rows.withColumn("period", grid).groupBy(channel, "period").agg(
+        F.sum(F.sin(turn) * F.sin(turn)).alias("ss"), F.sum(F.cos(turn) * F.cos(turn)).alias("cc"), F.sum(F.sin(turn) * F.cos(turn)).alias("sc"),
+        F.sum(F.col("_x") * F.sin(turn)).alias("xs"), F.sum(F.col("_x") * F.cos(turn)).alias("xc"),
+    )
+    det = F.col("ss") * F.col("cc") - F.col("sc") * F.col("sc")
+    a, b = F.try_divide(F.col("xs") * F.col("cc") - F.col("xc") * F.col("sc"), det), F.try_divide(F.col("xc") * F.col("ss") - F.col("xs") * F.col("sc"), det)
+    fitted = sums.select(channel, "period", a.alias("a"), b.alias("b"), (a * F.col("xs") + b * F.col("xc")).alias("gain")).where(F.col("gain").isNotNull())
+    best = fitted.groupBy(channel).agg(F.max(F.struct(F.round("gain", 6).alias("g"), (-F.col("period")).alias("p"), "a", "b")).alias("f"))
+    return best.select(
+        channel, (-F.col("f.p")).alias("period"), F.sqrt(F.col("f.a") * F.col("f.a") + F.col("f.b") * F.col("f.b")).alias("amplitude"),
+        F.pmod(F.degrees(F.atan2("f.b", "f.a")), F.lit(360.0)).alias("phase"),
+    )

@@ -87,6 +87,14 @@ def feature_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("acquisition_id", "feature", "n", "labels", digits(F.col("f_value"), 5).alias("f_value"))
 
 
+def feature_information(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mutual information between each log feature and the polarity clusters."""
+    rows = p.pulses(spark, sf_dir, *p.SCALED)
+    logs = rows.select("acquisition_id", "cluster", *[F.when(F.col(c) > 0, F.round(F.ln(F.when(F.col(c) > 0, F.col(c))), 9)).alias(c) for c in p.SCALED])
+    got = analytics.mutual_information(logs, "acquisition_id", "cluster", p.SCALED)
+    return got.select("acquisition_id", "feature", "n", (F.round("information", 6) + 0.0).alias("information"))
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read_table(spark, sf_dir, "acquisitions").select("acquisition_id", label_of(F.col("dataset")).alias("expected"))
     typed = p._typed(spark, sf_dir)
@@ -112,7 +120,7 @@ def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "kmeans_clusters": kmeans_clusters, "neighbour_eps": neighbour_eps, "dbscan_clusters": dbscan_clusters, "cluster_quality": cluster_quality,
-    "principal_components": principal_components, "feature_recommendation": feature_recommendation, "feature_anova": feature_anova,
+    "principal_components": principal_components, "feature_recommendation": feature_recommendation, "feature_anova": feature_anova, "feature_information": feature_information,
     "type_confusion": type_confusion, "threshold_search": threshold_search,
 }
 
@@ -126,6 +134,11 @@ SQL = {
 g AS (SELECT acquisition_id, feature, cluster, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM l GROUP BY ALL),
 w AS (SELECT acquisition_id, feature, sum(n)::BIGINT AS n, count(*) AS labels, sum(n * m) AS t, sum(n * m * m) AS q, sum(n * s) AS wi FROM g GROUP BY ALL)
 SELECT acquisition_id, feature, n, labels, {p._dig("CASE WHEN labels > 1 AND n > labels AND wi > 0 THEN ((q - t * t / n) / (labels - 1)) / (wi / (n - labels)) ELSE 0 END", 5)} AS f_value FROM w""",
+    "feature_information": f"""WITH {p._once(p.SCALED)}, l AS ({" UNION ALL ".join(f"SELECT acquisition_id AS g, cluster AS y, '{c}' AS feature, round(ln({c}), 9) AS v FROM once WHERE {c} > 0 AND isfinite({c})" for c in p.SCALED)}),
+r AS (SELECT *, min(v) OVER w AS lo, max(v) OVER w AS hi FROM l WINDOW w AS (PARTITION BY g, feature)),
+b AS (SELECT g, feature, y, CASE WHEN hi > lo THEN least(floor((v - lo) / (hi - lo) * 10), 9) ELSE 0 END AS b, count(*) AS n FROM r GROUP BY ALL),
+f AS (SELECT *, sum(n) OVER (PARTITION BY g, feature, b) AS nb, sum(n) OVER (PARTITION BY g, feature, y) AS ny, sum(n) OVER (PARTITION BY g, feature) AS nn FROM b)
+SELECT g AS acquisition_id, feature, CAST(max(nn) AS BIGINT) AS n, CAST(round(sum(n / nn * log2(n * nn / (nb * ny))), 6) + 0.0 AS DOUBLE) AS information FROM f GROUP BY g, feature""",
     "type_confusion": _JUDGED + " SELECT coalesce(expected, 'all') AS expected, coalesce(pd_type, 'all') AS pd_type, CAST(sum(total_pulse_count) AS BIGINT) AS n FROM ju GROUP BY CUBE (expected, pd_type)",
     "threshold_search": _JUDGED
     + f""", gr AS (SELECT * FROM (VALUES {", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for a, b, c in GRID)}) v(noise_limit, surface_limit, pair_limit)),

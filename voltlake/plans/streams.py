@@ -67,7 +67,22 @@ def stream_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("channel", "i", digits(F.col("phase"), 6).alias("phase"))
 
 
+def stream_rate_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least threshold of each channel with at most three crossings a cycle."""
+    rows = samples(spark, sf_dir)
+    levels = materialize(events.robust_thresholds(rows, "channel", "x"), "levels")
+    got = streams.pulse_rate_threshold(rows, "channel", "i", "x", levels, CYCLE, 3.0, lowest=0.5, highest=2.5, step=0.05)
+    return got.select("channel", *[digits(F.col(c)).alias(c) for c in ("k_sigma", "threshold", "per_cycle")])
+
+
+def stream_sine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best sine of each channel around the nominal cycle."""
+    got = streams.sine_fit(samples(spark, sf_dir), "channel", "i", "x", float(CYCLE))
+    return got.select("channel", *[digits(F.col(c), 6).alias(c) for c in ("period", "amplitude")])
+
+
 QUERIES = {
+    "stream_rate_threshold": stream_rate_threshold, "stream_sine": stream_sine,
     "stream_thresholds": stream_thresholds, "stream_crossings": stream_crossings, "stream_triggers": stream_triggers, "stream_windows": stream_windows,
     "stream_kurtosis": stream_kurtosis, "stream_wavelet": stream_wavelet, "stream_phase": stream_phase,
 }
@@ -100,6 +115,22 @@ w AS (SELECT channel, min(i) AS i FROM f GROUP BY channel UNION ALL
   SELECT w.channel, (SELECT min(f.i) FROM f WHERE f.channel = w.channel AND f.i >= w.i + {PRE + POST}) FROM w WHERE w.i IS NOT NULL)
 SELECT w.channel, w.i AS trigger, string_agg(printf('%.2f', x), ' ' ORDER BY s.i) AS samples, arg_min(x, (-abs(x), s.i)) AS signed_peak
 FROM w JOIN s ON s.channel = w.channel AND s.i BETWEEN w.i - {PRE} AND w.i + {POST - 1} WHERE w.i IS NOT NULL GROUP BY w.channel, w.i""",
+    "stream_rate_threshold": _S
+    + f""", v AS (SELECT s.channel, x - baseline AS now, lag(x) OVER (PARTITION BY s.channel ORDER BY i) - baseline AS was, mad * 1.4826 AS sigma, n_values FROM s JOIN t USING (channel)),
+g AS (SELECT unnest(range(0, 41)) AS lv),
+z AS (SELECT channel, n_values, sigma, now / sigma AS now, was / sigma AS was FROM v WHERE was IS NOT NULL AND sigma > 0),
+q AS (SELECT channel, lv, max(sigma) AS sigma,
+  (count(*) FILTER (WHERE round((now - 0.5) / 0.05, 9) > lv AND round((was - 0.5) / 0.05, 9) <= lv) + count(*) FILTER (WHERE round((-now - 0.5) / 0.05, 9) > lv AND round((-was - 0.5) / 0.05, 9) <= lv)) / (max(n_values) / {CYCLE}) AS rate
+  FROM z CROSS JOIN g GROUP BY channel, lv),
+k AS (SELECT channel, max(sigma) AS sigma, coalesce(min(lv) FILTER (WHERE rate <= 3), max(lv)) AS lv FROM q GROUP BY channel)
+SELECT k.channel, {_dig("0.5 + k.lv * 0.05")} AS k_sigma, {_dig("(0.5 + k.lv * 0.05) * k.sigma")} AS threshold, {_dig("rate")} AS per_cycle FROM k JOIN q ON q.channel = k.channel AND q.lv = k.lv""",
+    "stream_sine": _S
+    + f""", m2 AS (SELECT channel, i, x - avg(x) OVER (PARTITION BY channel) AS v FROM s), p AS (SELECT unnest(range(0, 41)) AS k),
+u AS (SELECT channel, v, {float(CYCLE)!r}::DOUBLE * (0.9 + 0.2 * k / 40) AS period, 2 * pi() * i / ({float(CYCLE)!r}::DOUBLE * (0.9 + 0.2 * k / 40)) AS w FROM m2 CROSS JOIN p),
+f AS (SELECT channel, period, sum(sin(w) * sin(w)) AS ss, sum(cos(w) * cos(w)) AS cc, sum(sin(w) * cos(w)) AS sc, sum(v * sin(w)) AS xs, sum(v * cos(w)) AS xc FROM u GROUP BY ALL),
+ab AS (SELECT channel, period, (xs * cc - xc * sc) / (ss * cc - sc * sc) AS a, (xc * ss - xs * sc) / (ss * cc - sc * sc) AS b, xs, xc FROM f),
+bs AS (SELECT channel, arg_max({{'p': period, 'a': a, 'b': b}}, (round(a * xs + b * xc, 6), -period)) AS o FROM ab GROUP BY channel)
+SELECT channel, {_dig("o.p", 6)} AS period, {_dig("sqrt(o.a * o.a + o.b * o.b)", 6)} AS amplitude FROM bs""",
     "stream_kurtosis": _S
     + f""" SELECT channel, cycle, n, CAST(round(CASE WHEN m2 < 1e-20 THEN 0 ELSE k END, 5) + 0.0 AS DOUBLE) AS kurtosis
 FROM (SELECT channel, i // {CYCLE} AS cycle, count(*) AS n, kurtosis_pop(x) AS k, var_pop(x) AS m2 FROM s GROUP BY ALL) WHERE n = {CYCLE}""",
