@@ -75,6 +75,17 @@ def test_cells_hold_alike_records_and_links_are_true(spark):
     assert len(members) == len(cells) == len({m["cell"] for m in members})
 
 
+@pytest.mark.parametrize(("seed", "spread"), [(3, 1.5), (4, 1.0)])
+def test_links_are_all_alike_pairs_of_cells(spark, seed, spread):
+    rows = {r[1]: r for r in make(seed, spread)}
+    found = similarity.cluster(spark.createDataFrame(list(rows.values()), SCHEMA), LIKE)
+    placed = [(r["cell"], rows[r["_key"]]) for r in found.points.collect()]
+    want = {frozenset((a, b)) for a, x in placed for b, y in placed if a != b and x[0] == y[0] and alike(x, y)}
+    got = [frozenset((r["u"], r["v"])) for r in found.links.collect()]
+    assert len(got) == len(set(got))
+    assert set(got) == want
+
+
 def test_clusters_are_described(spark):
     rows = [(1, i, 10.0 + i % 3, 1.0 + 0.01 * (i % 5), 2.0, "x") for i in range(30)]
     found = similarity.cluster(spark.createDataFrame(rows, SCHEMA), LIKE)

@@ -139,7 +139,9 @@ def neighbour_cells(cells: DataFrame, like: Likeness) -> DataFrame:
 
 
 def cell_links(points: DataFrame, cells: DataFrame, like: Likeness) -> DataFrame:
-    """(u, v): cells with at least one alike pair of records between them.
+    """(u, v): all pairs of cells with at least one alike pair of records between them,
+    each once. Pairs whose cells other links connect are settled as well: pivots absorb,
+    and cells choose among, their direct neighbours.
 
     Boxes settle most pairs. The others are settled on a finer grid, and what remains
     there by comparing records of the finer cells.
@@ -151,7 +153,6 @@ def cell_links(points: DataFrame, cells: DataFrame, like: Likeness) -> DataFrame
     doubt = judged.where(~F.col("sure"))
     if not row_count_up_to(doubt, 0):
         return links
-    doubt = materialize(_between_components(doubt, links), "doubt")
     parts = 8
     fine = gridded(points.select(like.group, like.key, like.circular, *like.ratios, "cell"), like, parts)
     axes = _axes(like)
@@ -183,16 +184,6 @@ def cell_links(points: DataFrame, cells: DataFrame, like: Likeness) -> DataFrame
     return links.unionByName(settled).unionByName(met)
 
 
-def _between_components(doubt: DataFrame, links: DataFrame) -> DataFrame:
-    """Only pairs whose cells no known links connect matter to what hangs together."""
-    label = components(links)
-    a = small_side(label.select(F.col("node").alias("ua"), F.col("label").alias("la")))
-    b = small_side(label.select(F.col("node").alias("ub"), F.col("label").alias("lb")))
-    joined = doubt.join(a, F.col("a.cell") == F.col("ua"), "left").join(b, F.col("b.cell") == F.col("ub"), "left")
-    same = F.col("la").isNotNull() & (F.col("la") == F.col("lb"))
-    return joined.where(~F.coalesce(same, F.lit(False))).select("a", "b")
-
-
 def pivot_clusters(cells: DataFrame, links: DataFrame) -> DataFrame:
     """(cell, pivot): each cell's pivot, itself for pivots and cells without links.
 
