@@ -74,6 +74,25 @@ def test_kmeans_and_silhouette(spark, frame, blobs):
     assert labels.count() == 360
 
 
+def test_kmeans_comes_to_rest_at_the_best_of_its_starts(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, 10_000 * g + i, float(rng.uniform()), float(rng.uniform())) for g in (1, 2, 3) for i in range(2500)]
+    rows += [(g, 10_000 * g + i, float(20 * (i % 3) + rng.normal(0, 0.3)), float(rng.normal())) for g in (4, 5, 6, 7) for i in range(90)]
+    rows += [(8, 80_000 + i, float(i), 0.0) for i in range(2)]
+    got = {r["id"]: r for r in clustering.kmeans(spark.createDataFrame(rows, "ds int, id long, x double, y double"), "ds", "id", ["x", "y"], k=3).collect()}
+    assert len(got) == len(rows)
+    for g in range(1, 8):
+        pts = [r for r in rows if r[0] == g]
+        xy, label = np.array([r[2:] for r in pts]), np.array([got[r[1]]["cluster"] for r in pts])
+        means = np.array([xy[label == c].mean(0) for c in range(3)])
+        d = np.sqrt(((xy[:, None] - means[None]) ** 2).sum(-1))
+        assert (d.argmin(1) == label).all()
+        assert [got[r[1]]["distance"] for r in pts] == pytest.approx(d.min(1), abs=1e-7)
+        if g > 3:
+            assert len({(label[i], i % 3) for i in range(90)}) == 3
+    assert {got[80_000]["cluster"], got[80_001]["cluster"]} == {0, 1}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(90, 80)], "u long, v long")
     got = {r["node"]: r["label"] for r in components(links).collect()}

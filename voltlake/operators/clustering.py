@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DoubleType, LongType, StructField, StructType
 
 from voltlake.operators.graph import components
 from voltlake.operators.quantiles import exact_percentiles
@@ -19,31 +22,96 @@ def _square_distance(a: str, b: str, columns: Sequence[str]) -> Column:
     return total
 
 
-def kmeans(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5, rounds: int = 20, seed: int = 42) -> DataFrame:
-    """(group, key, cluster, distance): Lloyd's rounds for every group at once. The first
-    centres are the rows of least hash; a centre that loses its rows keeps its place.
-    Each round joins the rows with the k centres of their group and adds up."""
+#: Rows of a group that a k-means kernel sees at once; groups of centres worth a broadcast.
+CHUNK_ROWS, BROADCAST_GROUPS = 2048, 10_000
+
+
+def _lloyd_sums(width: int, group_type: DataType):
+    """Arrow batches of (g, xs, starts, cs) to (g, s, c, n, t0.., o0.., cost): of each start
+    and centre the rows it is nearest to, their sums, its old place, and their cost."""
+    doubles = [f"{e}{i}" for e in "to" for i in range(width)]
+    schema = StructType([StructField("g", group_type), StructField("s", LongType()), StructField("c", LongType()), StructField("n", LongType())])
+    for name in (*doubles, "cost"):
+        schema = schema.add(name, DoubleType())
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups, parts = [], []
+            for r in range(batch.num_rows):
+                x, cs = (batch.column(n)[r].values.to_numpy(zero_copy_only=False).reshape(-1, width) for n in ("xs", "cs"))
+                starts = batch.column("starts")[r].values.to_numpy(zero_copy_only=False)
+                k = len(cs) // len(starts)
+                # |x - c|^2 = |x|^2 + 2 (|c|^2 / 2 - x c); the rows' own part is the same for all centres
+                half = ((cs * cs).sum(1) / 2)[:, None] - cs @ x.T
+                half = half.reshape(len(starts), k, -1)
+                best, near = half[:, 0].copy(), np.zeros((len(starts), len(x)), dtype=np.int64)
+                for c in range(1, k):
+                    near[half[:, c] < best] = c
+                    np.minimum(best, half[:, c], out=best)
+                place = (near + np.arange(len(starts))[:, None] * k).ravel()
+                cost = (x * x).sum(1) + 2 * best
+                weights = [np.tile(x[:, i], len(starts)) for i in range(width)]
+                sums = [np.bincount(place, w, len(cs)) for w in (*weights, cost.ravel())]
+                part = [np.repeat(starts, k), np.tile(np.arange(k), len(starts)), np.bincount(place, minlength=len(cs))]
+                parts.append([*part, *sums[:-1], *cs.T, sums[-1]])
+                groups += [r] * len(cs)
+            if parts:
+                columns = [pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("g").take(pa.array(groups)), *columns], names=schema.names)
+
+    return kernel, schema
+
+
+def kmeans(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5, rounds: int = 300, starts: int = 10, seed: int = 42) -> DataFrame:
+    """(group, key, cluster, distance): Lloyd's rounds for every group and start at once,
+    until no centre moves. Of a group's starts the one of least cost is kept (to nine
+    digits, the first of equals). A start's first centres are k rows in the order of their
+    hash, each start going on where the last ended; a centre that loses its rows keeps its
+    place. Each round joins chunks of rows with the centres of their group and adds up;
+    starts that have come to rest leave the join."""
+    width = len(columns)
     base = materialize(rows.select(F.col(group).alias("g"), F.col(key).alias("id"), *columns), "rows")
-    rank = F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))
-    low = base.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("r", rank).where(F.col("r") <= k)
-    centres = materialize(low.select(F.col("g").alias("cg"), (F.col("r") - 1).alias("c"), *[F.col(c).alias(f"c_{c}") for c in columns]), "centres")
-
-    def nearest(now: DataFrame) -> DataFrame:
-        side = small_side(now.groupBy("cg").agg(F.collect_list(F.struct("c", *[f"c_{c}" for c in columns])).alias("cs")))  # k centres
-        met = base.join(side, base["g"].eqNullSafe(side["cg"]))
-        total = lambda s: sum((F.pow(F.col(c) - s[f"c_{c}"], F.lit(2.0)) for c in columns), F.lit(0.0))
-        return met.withColumn("_n", F.array_min(F.transform("cs", lambda s: F.struct(total(s).alias("d"), s["c"].alias("c"))))).drop("cs", "cg")
+    sizes = materialize(base.groupBy("g").agg(F.count("*").alias("size")).withColumnRenamed("g", "sg"), "sizes")
+    sized = base.join(small_side(sizes), F.col("g").eqNullSafe(F.col("sg"))).drop("sg")
+    chunk = F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / CHUNK_ROWS)).alias("chunk")
+    point = F.array(*[F.col(c).cast("double") for c in columns])
+    packed = sized.groupBy("g", chunk).agg(F.array_sort(F.collect_list(F.struct("id", point.alias("x")))).alias("xs"))
+    chunks = materialize(packed.select("g", F.flatten("xs.x").alias("xs")), "chunks")
 
+    rank = F.row_number().over(Window.partitionBy("g").orderBy("h", "id"))
+    low = sized.withColumn("h", F.xxhash64(F.lit(seed), "id")).withColumn("r", rank).where(F.col("r") <= k * starts)
+    low = low.select("g", "size", "r", point.alias("x"), F.explode(F.sequence(F.lit(0), F.lit(starts - 1)).cast("array<long>")).alias("s"))
+    turn = F.pmod(F.col("r") - 1 - F.col("s") * k, F.least(F.col("size"), F.lit(k * starts))).alias("c")
+    low = low.select("g", "s", turn, "x").where(F.col("c") < k)
+
+    def by_start(centres: DataFrame, shift: Column, cost: Column) -> DataFrame:
+        place = F.array_sort(F.collect_list(F.struct("c", "x")))
+        return centres.groupBy("g", "s").agg(place.alias("cs"), F.max(shift).alias("shift"), F.sum(cost).alias("cost")).withColumn("cs", F.flatten("cs.x"))
+
+    now = materialize(by_start(low, F.lit(float("inf")), F.lit(0.0)), "starts")
+    kernel, schema = _lloyd_sums(width, base.schema["g"].dataType)
+    moving = F.col("shift") >= 1e-18
     for _ in range(rounds):
-        moved = nearest(centres).groupBy("g", F.col("_n.c").alias("c")).agg(*[F.avg(c).alias(f"n_{c}") for c in columns])
-        m = moved.withColumnsRenamed({"g": "mg", "c": "mc"})
-        joined = centres.join(m, centres["cg"].eqNullSafe(m["mg"]) & (centres["c"] == m["mc"]), "left")
-        new = materialize(joined.select("cg", "c", *[f"c_{c}" for c in columns], *[F.coalesce(f"n_{c}", f"c_{c}").alias(f"n_{c}") for c in columns]), "centres")
-        shift = new.agg(F.max(_square_distance("c_", "n_", columns))).first()[0]
-        centres = new.select("cg", "c", *[F.col(f"n_{c}").alias(f"c_{c}") for c in columns])
-        if shift is None or shift < 1e-18:
+        if not row_count_up_to(now.where(moving), 0):
             break
-    return nearest(centres).select(F.col("g").alias(group), F.col("id").alias(key), F.col("_n.c").cast("int").alias("cluster"), F.sqrt("_n.d").alias("distance"))
+        side = now.where(moving).groupBy(F.col("g").alias("cg")).agg(F.array_sort(F.collect_list(F.struct("s", "cs"))).alias("o"))
+        side = small_side(side.select("cg", F.col("o.s").alias("starts"), F.flatten("o.cs").alias("cs")), BROADCAST_GROUPS)
+        met = chunks.join(side, chunks["g"].eqNullSafe(side["cg"])).select("g", "xs", "starts", "cs")
+        summed = met.mapInArrow(kernel, schema).groupBy("g", "s", "c").agg(
+            F.sum("n").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(width)], *[F.max(f"o{i}").alias(f"o{i}") for i in range(width)], F.sum("cost").alias("cost")
+        )
+        new = summed.select("g", "s", "c", "cost", *[f"o{i}" for i in range(width)], *[F.when(F.col("n") > 0, F.col(f"t{i}") / F.col("n")).otherwise(F.col(f"o{i}")).alias(f"n{i}") for i in range(width)])
+        shift = _square_distance("o", "n", [str(i) for i in range(width)])
+        fresh = by_start(new.withColumn("x", F.array(*[f"n{i}" for i in range(width)])), shift, F.col("cost"))
+        now = materialize(fresh.unionByName(now.where(~moving)), "starts")
+
+    best = now.groupBy(F.col("g").alias("cg")).agg(F.min(F.struct(F.format_string("%.8e", "cost").cast("double").alias("cost"), "s", "cs")).alias("b"))
+    side = small_side(materialize(best.select("cg", F.col("b.cs").alias("cs")), "centres"), BROADCAST_GROUPS)
+    met = base.join(side, base["g"].eqNullSafe(side["cg"]))
+    total = lambda c: sum((F.pow(F.col(x) - F.element_at("cs", (c * width + i + 1).cast("int")), F.lit(2.0)) for i, x in enumerate(columns)), F.lit(0.0))
+    places = F.sequence(F.lit(0), (F.size("cs") / width).cast("int") - 1)
+    near = met.withColumn("_n", F.array_min(F.transform(places, lambda c: F.struct(total(c).alias("d"), c.alias("c")))))
+    return near.select(F.col("g").alias(group), F.col("id").alias(key), F.col("_n.c").cast("int").alias("cluster"), F.sqrt("_n.d").alias("distance"))
 
 
 def _cells(columns: Sequence[str], width: Column) -> list[Column]:
