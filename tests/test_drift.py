@@ -89,3 +89,10 @@ def test_ingest_rescues_and_replays(spark):
     assert after[2, 1]["ac_frequency"] is None
     assert set(json.loads(after[2, 1]["rescued"])) == {"ac_frequency", "other"}
     assert after[1, 1]["ac_frequency"] == 50.0
+
+
+def test_long_chains_of_renames(spark):
+    chain = ["sample_interval", *[f"n{i}" for i in range(15)]]
+    edges = spark.createDataFrame([(i, a, b, 0) for i, (a, b) in enumerate(zip(chain, chain[1:], strict=False))], "file_id long, before string, after string, power int")
+    got = {r["key"]: r["target"] for r in drift.approved_names(edges).collect()}
+    assert got["n14"] == "sample_interval" and len(got) == 15 + len(drift.TARGETS)

@@ -171,9 +171,10 @@ def ingest(cells: DataFrame, records: DataFrame, targets: dict[str, str] = TARGE
     return joined.withColumn("rescued", F.when(F.col("_seen").isNull(), F.to_json(F.struct(F.col("_payload").alias("unparsed")))).otherwise(F.col("rescued"))).drop("_payload", "_seen")
 
 
-def approved_names(renames: DataFrame, targets: dict[str, str] = TARGETS, rounds: int = 12) -> DataFrame:
+def approved_names(renames: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
     """(key, target, power): names that renames lead to from the target fields, with
-    target = value * 1000 ** power. One target per name, by the most renames."""
+    target = value * 1000 ** power. One target per name, by the most renames; chains of
+    renames are followed to their end."""
     spark = renames.sparkSession
     votes = renames.groupBy("before", "after", "power").agg(F.count("*").alias("votes"))
     edges = votes.select(F.col("before").alias("a"), F.col("after").alias("b"), F.col("power").alias("step"), "votes").unionByName(
@@ -181,15 +182,14 @@ def approved_names(renames: DataFrame, targets: dict[str, str] = TARGETS, rounds
     )
     edges = materialize(edges, "edges")
     known = spark.createDataFrame([(t, t, 0) for t in targets], "key string, target string, power int")
-    for _ in range(rounds):
+    while True:
         reach = known.join(edges, known["key"] == edges["a"]).join(known.select(F.col("key").alias("b")), "b", "left_anti")
         if not row_count_up_to(reach, 0):
-            break
+            return known
         step = reach.groupBy("b", "target", (F.col("power") + F.col("step")).cast("int").alias("power")).agg(F.sum("votes").alias("votes"))
         pick = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), F.abs("power"), "target"))
         fresh = step.withColumn("_r", pick).where(F.col("_r") == 1).select(F.col("b").alias("key"), "target", "power")
         known = materialize(known.unionByName(fresh), "names")
-    return known
 
 
 def replay(table: DataFrame, names: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
