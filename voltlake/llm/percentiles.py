@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.operators.quantiles import RELATIVE_ERROR, approx_percentiles, bucket_counts, exact_percentiles, long_measures, merge_counts
+from voltlake.llm.bisection import RELATIVE_ERROR, approx_percentiles, bucket_counts, exact_percentiles, merge_counts
+from voltlake.operators.quantiles import long_measures
 from voltlake.runtime import materialize, once_per_key, read_table
 
 MEASURES = ("absolute_amplitude", "energy", "rise_time")
