@@ -89,11 +89,28 @@ def test_empty_and_all_null(spark):
     assert [r["fault_v"] for r in got] == [None]
 
 
+def cutoffs(df, season, risk):
+    long = faults.possible_readings(df, "source", season, [FIELD])
+    return faults.tail_cutoffs(long, faults.tail_percentiles(long, "source"), "source", risk)
+
+
 def test_tail_cutoff_follows_the_risk(spark):
     rows = [(i, "a", "s", float(i), 1.0 + (i % 997) / 100, None, None, i % 24) for i in range(5000)]
     df = spark.createDataFrame(rows, SCHEMA)
-    low = faults.tail_cutoffs(df, "source", F.lit(0), [FIELD], risk=1e-2).first()
-    high = faults.tail_cutoffs(df, "source", F.lit(0), [FIELD], risk=1e-4).first()
+    low, high = cutoffs(df, F.lit(0), 1e-2).first(), cutoffs(df, F.lit(0), 1e-4).first()
     assert low["u"] * low["level"] <= low["cutoff"] < high["cutoff"]
     above = sum(r[4] > low["cutoff"] for r in rows) / len(rows)
     assert above < 0.03
+
+
+def test_spikes_do_not_move_the_cutoff(spark):
+    clean = [(i, "a", "s", float(i), math.exp(((i * 7919) % 1000) / 500), None, None, i % 24) for i in range(4000)]
+    dirty = [(*r[:4], r[4] * 200 if i % 80 == 0 else r[4], *r[5:]) for i, r in enumerate(clean)]
+    one, two = (max(r["cutoff"] for r in cutoffs(spark.createDataFrame(rows, SCHEMA), F.col("hour"), 1e-2).collect()) for rows in (clean, dirty))
+    assert two == pytest.approx(one, rel=0.2)
+
+
+def test_a_burst_is_cut_into_chunks(spark):
+    rows = [(i, "a", "s", 1000.0 + i / 1e6 if i else 0.0, 1.0, None, None, 0) for i in range(1000)]
+    got = faults.with_chunks(spark.createDataFrame(rows, SCHEMA), "series", "t", 100).groupBy("_chunk").count().collect()
+    assert len(got) >= 8 and max(r["count"] for r in got) <= 250

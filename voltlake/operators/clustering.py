@@ -22,8 +22,8 @@ def _square_distance(a: str, b: str, columns: Sequence[str]) -> Column:
     return total
 
 
-#: Rows of a group that a k-means kernel sees at once; groups of centres worth a broadcast.
-CHUNK_ROWS, BROADCAST_GROUPS = 2048, 10_000
+#: Rows of a group that a k-means kernel sees at once.
+CHUNK_ROWS = 2048
 
 
 def _lloyd_sums(width: int, group_type: DataType):
@@ -95,7 +95,7 @@ def kmeans(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int
         if not row_count_up_to(now.where(moving), 0):
             break
         side = now.where(moving).groupBy(F.col("g").alias("cg")).agg(F.array_sort(F.collect_list(F.struct("s", "cs"))).alias("o"))
-        side = small_side(side.select("cg", F.col("o.s").alias("starts"), F.flatten("o.cs").alias("cs")), BROADCAST_GROUPS)
+        side = small_side(side.select("cg", F.col("o.s").alias("starts"), F.flatten("o.cs").alias("cs")))
         met = chunks.join(side, chunks["g"].eqNullSafe(side["cg"])).select("g", "xs", "starts", "cs")
         summed = met.mapInArrow(kernel, schema).groupBy("g", "s", "c").agg(
             F.sum("n").alias("n"), *[F.sum(f"t{i}").alias(f"t{i}") for i in range(width)], *[F.max(f"o{i}").alias(f"o{i}") for i in range(width)], F.sum("cost").alias("cost")
@@ -106,7 +106,7 @@ def kmeans(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int
         now = materialize(fresh.unionByName(now.where(~moving)), "starts")
 
     best = now.groupBy(F.col("g").alias("cg")).agg(F.min(F.struct(F.format_string("%.8e", "cost").cast("double").alias("cost"), "s", "cs")).alias("b"))
-    side = small_side(materialize(best.select("cg", F.col("b.cs").alias("cs")), "centres"), BROADCAST_GROUPS)
+    side = small_side(materialize(best.select("cg", F.col("b.cs").alias("cs")), "centres"))
     met = base.join(side, base["g"].eqNullSafe(side["cg"]))
     total = lambda c: sum((F.pow(F.col(x) - F.element_at("cs", (c * width + i + 1).cast("int")), F.lit(2.0)) for i, x in enumerate(columns)), F.lit(0.0))
     places = F.sequence(F.lit(0), (F.size("cs") / width).cast("int") - 1)
@@ -163,7 +163,7 @@ def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence
 
 def estimate_eps(distances: DataFrame, group: str, percentile: float = 0.6) -> DataFrame:
     """(group, eps): the percentile of the k-th neighbour distances."""
-    return exact_percentiles(distances, [[group]], ["distance"], [percentile]).select(group, F.col("value").alias("eps"))
+    return exact_percentiles(distances, [group], ["distance"], [percentile]).select(group, F.col("value").alias("eps"))
 
 
 def dbscan(rows: DataFrame, group: str, key: str, columns: Sequence[str], eps: DataFrame, min_samples: int = 5) -> DataFrame:

@@ -112,11 +112,11 @@ def match_within(left: DataFrame, right: DataFrame, channel: str, index: str, ke
 def robust_thresholds(samples: DataFrame, channel: str, value: str, k_sigma: float = 5.0) -> DataFrame:
     """(channel, n_values, baseline, mad, threshold): the median, the median absolute
     deviation and ``k_sigma`` robust standard deviations, exact in two counting searches."""
-    base = exact_percentiles(samples, [[channel]], [value], [0.5]).select(F.col(channel), "n_values", F.col("value").alias("baseline"))
+    base = exact_percentiles(samples, [channel], [value], [0.5]).select(F.col(channel), "n_values", F.col("value").alias("baseline"))
     base = materialize(base, "baseline")
     side = small_side(base.withColumnRenamed(channel, "_ch"))
     off = samples.join(side, samples[channel].eqNullSafe(side["_ch"])).select(channel, F.abs(F.col(value) - F.col("baseline")).alias("off"))
-    mads = exact_percentiles(materialize(off, "off"), [[channel]], ["off"], [0.5]).select(F.col(channel).alias("_c"), F.col("value").alias("mad"))
+    mads = exact_percentiles(materialize(off, "off"), [channel], ["off"], [0.5]).select(F.col(channel).alias("_c"), F.col("value").alias("mad"))
     return base.join(mads, base[channel].eqNullSafe(mads["_c"])).select(
         channel, "n_values", "baseline", "mad", (F.lit(1.4826 * k_sigma) * F.col("mad")).alias("threshold")
     )

@@ -3,6 +3,7 @@
 Spikes are peaks over a threshold: per source, readings are divided by the source's level
 in the season (hour of the day); the tail of these residuals above their 90th percentile
 is fitted by a generalised Pareto distribution, which gives a cutoff at a fixed risk.
+Readings above the cutoff are candidates, which an exact rule then confirms.
 """
 
 from __future__ import annotations
@@ -19,9 +20,13 @@ STUCK_READINGS = 8
 SPIKE_FACTOR = 4.0
 TAIL_PROB = 0.9
 #: Accepted chance that a sound reading lies above the cutoff.
-RISK = 1e-3
+RISK = 1e-2
+#: Readings of a season that count as much as the level of all seasons.
+LEVEL_ROWS = 50
 #: Rows that one window of the stuck rule sees at about most.
 CHUNK_ROWS = 50_000
+#: Chunks of the longest series.
+MOST_CHUNKS = 1024
 
 
 @dataclass(frozen=True)
@@ -51,14 +56,21 @@ def impossible(field: Field) -> Column:
 
 
 def with_chunks(df: DataFrame, series: str, order: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """Adds ``_chunk``: equal spans of ``order`` within a series, so many that a series
-    of any length is spread over tasks. Rows of equal order share a chunk."""
-    span = df.groupBy(series).agg(F.min(order).alias("_t0"), F.max(order).alias("_t1"), F.count("*").alias("_n"))
-    joined = df.join(small_side(span), df[series].eqNullSafe(span[series])).drop(span[series])
-    many = F.ceil(F.col("_n") / chunk_rows)
-    width = (F.col("_t1") - F.col("_t0")) / many
-    chunk = F.when((many > 1) & (width > 0), F.least(F.floor((F.col(order) - F.col("_t0")) / width), many - 1))
-    return joined.withColumn("_chunk", F.coalesce(chunk, F.lit(0)).cast("long")).drop("_t0", "_t1", "_n")
+    """Adds ``_chunk``: ranges of ``order`` within a series that hold about as many rows
+    each, so that a long series or a burst is spread over tasks. Rows of equal order
+    share a chunk; series of at most ``chunk_rows`` rows are one."""
+    long = df.groupBy(series).agg(F.count("*").alias("_n")).where(F.col("_n") > chunk_rows)
+    most = long.agg(F.max("_n")).first()[0]
+    if most is None:
+        return df.withColumn("_chunk", F.lit(0).cast("long"))
+    many = min(MOST_CHUNKS, -(-most // chunk_rows))
+    at = [i / many for i in range(1, many)]
+    hot = small_side(long.select(F.col(series).alias("_ls")))
+    cuts = df.join(hot, df[series].eqNullSafe(hot["_ls"])).groupBy("_ls").agg(F.array_distinct(F.percentile_approx(order, at, 20 * many)).alias("_cuts"))
+    cuts = small_side(materialize(cuts, "cuts"))
+    joined = df.join(cuts, df[series].eqNullSafe(cuts["_ls"]), "left").drop("_ls")
+    before = F.size(F.filter("_cuts", lambda c: c < F.col(order)))
+    return joined.withColumn("_chunk", F.when(F.col("_cuts").isNotNull(), before).otherwise(0).cast("long")).drop("_cuts")
 
 
 def stuck_flags(df: DataFrame, series: str, order: list[str], fields: list[str], least: int = STUCK_READINGS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -110,56 +122,61 @@ def _join_edges(runs: DataFrame, series: str, field: str) -> DataFrame:
     return runs.join(small_side(grown), on, "left").drop("_s", "_c", "_rr")
 
 
-def tail_cutoffs(df: DataFrame, source: str, season: Column, fields: list[Field], risk: float = RISK, tail_prob: float = TAIL_PROB) -> DataFrame:
-    """One row per source, field and season: ``p_tail`` (percentile of the readings),
-    ``u`` (of the seasonal residuals), the fitted tail's ``shape`` and ``scale``, the
-    ``level`` of the season and the ``cutoff`` of a reading at ``risk``.
+def possible_readings(df: DataFrame, source: str, season: Column, fields: list[Field]) -> DataFrame:
+    """(source, _season, field_name, v): the readings that are not impossible."""
+    possible = [F.struct(F.lit(f.name).alias("field_name"), F.when(~impossible(f), reading(f.name)).alias("v")) for f in fields]
+    return df.select(source, season.alias("_season"), F.explode(F.array(*possible)).alias("c")).select(source, "_season", "c.*").where(F.col("v").isNotNull())
 
-    Only possible readings count. Seasons without a positive reading have level 1; tails
-    with fewer than two different excesses have shape and scale 0 and the cutoff at ``u``.
+
+def tail_percentiles(long: DataFrame, source: str, tail_prob: float = TAIL_PROB) -> DataFrame:
+    """(_src, _f, p_tail, n_values) of each source and field."""
+    got = exact_percentiles(long, [source, "field_name"], ["v"], [tail_prob])
+    return materialize(got.select(F.col(source).alias("_src"), F.col("field_name").alias("_f"), F.col("value").alias("p_tail"), "n_values"), "tails")
+
+
+def tail_cutoffs(long: DataFrame, tails: DataFrame, source: str, risk: float = RISK, tail_prob: float = TAIL_PROB) -> DataFrame:
+    """One row per source, field and season of ``long`` (:func:`possible_readings`):
+    ``p_tail`` (percentile of the readings), ``u`` (of the seasonal residuals), the fitted
+    tail's ``shape`` and ``scale``, the season's ``level`` and the ``cutoff`` of a reading
+    at ``risk``.
+
+    Levels are geometric means of the readings cut at ``p_tail``, drawn to the source's
+    own mean where a season has few, so that spikes and small seasons hardly move them;
+    sources without a positive reading have level 1. The Pareto tail is fitted through
+    the middle and the upper quarter of the excesses: faulty readings, as long as they
+    are less than a quarter of the tail, do not move it. Tails without different
+    excesses have shape and scale 0 and the cutoff at ``u``.
     """
-    possible = [F.when(~impossible(f), reading(f.name)).alias(f.name) for f in fields]
-    base = df.select(source, season.alias("_season"), *possible)
-    long = base.select(
-        source, "_season", F.explode(F.array(*[F.struct(F.lit(f.name).alias("field_name"), F.col(f.name).alias("v")) for f in fields])).alias("c")
-    ).select(source, "_season", "c.field_name", "c.v").where(F.col("v").isNotNull())
-    log = F.when(F.col("v") > 0, F.ln("v"))
-    season_sums = long.groupBy(source, "field_name", "_season").agg(F.sum(log).alias("_s"), F.count(log).alias("_c"))
-    season_sums = season_sums.withColumn("level", F.coalesce(F.exp(F.try_divide("_s", "_c")), F.lit(1.0))).drop("_s", "_c")
-    levels = materialize(season_sums, "levels")
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return a[source].eqNullSafe(b["_src"]) & (a["field_name"] == b["_f"])
+
+    side = small_side(tails)
+    base = long.join(side, same(long, side)).drop("_src", "_f", "n_values")
+    log = F.when(F.col("v") > 0, F.ln(F.least("v", "p_tail")))
+    sums = materialize(base.groupBy(source, "field_name", "_season").agg(F.sum(log).alias("s"), F.count(log).alias("c")), "seasons")
+    own = Window.partitionBy(source, "field_name")
+    mean = F.try_divide(F.sum("s").over(own), F.sum("c").over(own))
+    level = F.exp((F.coalesce("s", F.lit(0.0)) + LEVEL_ROWS * mean) / (F.col("c") + LEVEL_ROWS))
+    levels = materialize(sums.select(source, "field_name", "_season", F.coalesce(level, F.lit(1.0)).alias("level")), "levels")
     right = small_side(levels.withColumnsRenamed({source: "_src", "field_name": "_f", "_season": "_sea"}))
-    same = long[source].eqNullSafe(right["_src"]) & (long["field_name"] == right["_f"]) & long["_season"].eqNullSafe(right["_sea"])
-    residuals = materialize(
-        long.join(right, same).select(source, "field_name", "v", (F.col("v") / F.col("level")).alias("residual")), "residuals"
-    )
-    cuts = exact_percentiles(residuals, [[source, "field_name"]], ["v", "residual"], [tail_prob])
-    cuts = cuts.groupBy(source, "field_name").agg(
-        F.max(F.when(F.col("measure") == "v", F.col("value"))).alias("p_tail"),
-        F.max(F.when(F.col("measure") == "residual", F.col("value"))).alias("u"),
-        F.max("n_values").alias("n_values"),
-    )
-    cuts = materialize(cuts, "cuts")
-    mine = small_side(cuts.withColumnsRenamed({source: "_src", "field_name": "_f"}))
-    excess = F.when(F.col("residual") > F.col("u"), F.col("residual") - F.col("u"))
-    tails = (
-        residuals.join(mine, residuals[source].eqNullSafe(mine["_src"]) & (residuals["field_name"] == mine["_f"]))
-        .groupBy(source, "field_name")
-        .agg(
-            F.max("p_tail").alias("p_tail"), F.max("u").alias("u"), F.max("n_values").alias("n_values"),
-            F.count(excess).alias("n_peaks"), F.avg(excess).alias("_m"), F.var_pop(excess).alias("_v"),
-        )
-    )
-    ratio = F.try_divide(F.col("_m") * F.col("_m"), F.when(F.col("_v") > 0, F.col("_v")))
-    shape = F.coalesce(F.greatest(F.lit(-0.5), F.least(F.lit(0.49), 0.5 * (1 - ratio))), F.lit(0.0))
-    fitted = tails.withColumn("shape", shape).withColumn(
-        "scale", F.when(ratio.isNotNull(), F.col("_m") * (1 - F.col("shape"))).otherwise(F.lit(0.0))
-    )
-    times = F.greatest(F.try_divide(F.col("n_peaks"), F.col("n_values")) / risk, F.lit(1.0))
-    growth = F.when(F.abs("shape") < 1e-9, F.ln(times)).otherwise((F.pow(times, F.col("shape")) - 1) / F.when(F.abs("shape") < 1e-9, F.lit(1.0)).otherwise(F.col("shape")))
-    fitted = fitted.withColumn("_cut", F.col("u") + F.col("scale") * growth).drop("_m", "_v")
-    left = levels
+    met = long.join(right, same(long, right) & long["_season"].eqNullSafe(right["_sea"]))
+    residuals = materialize(met.select(source, "field_name", (F.col("v") / F.col("level")).alias("residual")), "residuals")
+    middle, upper = (1 - (1 - tail_prob) * part for part in (0.5, 0.25))
+    cuts = exact_percentiles(residuals, [source, "field_name"], ["residual"], [tail_prob, middle, upper])
+    at = lambda p: F.max(F.when(F.abs(F.col("prob") - p) < 1e-12, F.col("value")))
+    cuts = cuts.groupBy(source, "field_name").agg(at(tail_prob).alias("u"), at(middle).alias("_m"), at(upper).alias("_q"), F.max("n_values").alias("n_values"))
+    half, quarter = F.col("_m") - F.col("u"), F.col("_q") - F.col("u")
+    ok = half > 0
+    shape = F.when(ok, F.greatest(F.lit(-1.0), F.least(F.lit(2.0), F.log2(F.greatest((quarter - half) / F.when(ok, half), F.lit(1e-9))))))
+    shape = F.when(F.abs(shape) < 1e-9, 1e-9).otherwise(shape)
+    scale = shape * half / (F.pow(F.lit(2.0), shape) - 1)
+    growth = (F.pow(F.lit(max(1.0, (1 - tail_prob) / risk)), F.col("shape")) - 1) / F.col("shape")
+    fitted = cuts.withColumn("shape", shape).withColumn("scale", scale).withColumn("_cut", F.col("u") + F.coalesce(F.col("scale") * growth, F.lit(0.0)))
+    fitted = fitted.withColumns({"shape": F.coalesce("shape", F.lit(0.0)), "scale": F.coalesce("scale", F.lit(0.0))}).drop("_m", "_q")
+    fitted = fitted.join(side, same(fitted, side)).select(source, "field_name", "p_tail", "u", "shape", "scale", side["n_values"], "_cut")
     right = small_side(fitted.withColumnsRenamed({source: "_src", "field_name": "_f"}))
-    joined = left.join(right, left[source].eqNullSafe(right["_src"]) & (left["field_name"] == right["_f"])).drop("_src", "_f")
+    joined = levels.join(right, same(levels, right)).drop("_src", "_f")
     return joined.withColumn("cutoff", F.col("level") * F.col("_cut")).drop("_cut")
 
 
@@ -168,31 +185,34 @@ def flag_faults(
     source: str,
     series: str,
     order: list[str],
-    season: Column,
+    season: Column | None,
     fields: list[Field],
     factor: float = SPIKE_FACTOR,
     risk: float = RISK,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
-    """Adds ``fault_<field>`` (impossible, stuck, spike or null), the first that applies.
+    """Adds ``fault_<field>`` (impossible, stuck, spike or null), the first that applies,
+    and ``proposed_<field>``: the reading lies above its season's fitted cutoff.
 
-    A spike is a reading above ``factor`` times the source's 90th percentile. The fitted
-    tail proposes the peaks: its cutoff is lowered to that line where it lies above, so
-    that no spike is missed, and the proposed peaks are then held against the line.
+    Spikes are the proposed readings that also lie above ``factor`` times the source's
+    90th percentile. Without a ``season`` nothing is fitted and that line alone decides.
     Null and NaN readings have no fault. A null source or series is one of its own.
     """
     names = [f.name for f in fields]
-    flagged = stuck_flags(df, series, order, names, chunk_rows=chunk_rows).withColumn("_season", season)
-    cuts = materialize(tail_cutoffs(df, source, season, fields, risk), "cutoffs")
+    flagged = stuck_flags(df, series, order, names, chunk_rows=chunk_rows).withColumn("_season", season if season is not None else F.lit(0))
+    long = possible_readings(df, source, season if season is not None else F.lit(0), fields)
+    tails = tail_percentiles(long, source)
+    cuts = materialize(tail_cutoffs(long, tails, source, risk), "cutoffs") if season is not None else None
     for f in fields:
-        mine = small_side(
-            cuts.where(F.col("field_name") == f.name).select(
-                F.col(source).alias("_src"), F.col("_season").alias("_sea"), F.col("p_tail").alias("_p"), F.least(F.col("cutoff"), factor * F.col("p_tail")).alias("_propose")
-            )
-        )
-        on = flagged[source].eqNullSafe(mine["_src"]) & flagged["_season"].eqNullSafe(mine["_sea"])
         v = reading(f.name)
-        peak = F.coalesce((v > F.col("_propose")) & (v > factor * F.col("_p")), F.lit(False))
-        fault = F.when(impossible(f), "impossible").when(F.col(f"_stuck_{f.name}"), "stuck").when(peak, "spike")
-        flagged = flagged.join(mine, on, "left").withColumn(f"fault_{f.name}", fault).drop("_src", "_sea", "_p", "_propose", f"_stuck_{f.name}")
+        if cuts is None:
+            mine = small_side(tails.where(F.col("_f") == f.name).select("_src", F.col("p_tail").alias("_p"), F.lit(0.0).alias("_cut")))
+            on = flagged[source].eqNullSafe(mine["_src"])
+        else:
+            mine = small_side(cuts.where(F.col("field_name") == f.name).select(F.col(source).alias("_src"), F.col("_season").alias("_sea"), F.col("p_tail").alias("_p"), F.col("cutoff").alias("_cut")))
+            on = flagged[source].eqNullSafe(mine["_src"]) & flagged["_season"].eqNullSafe(mine["_sea"])
+        proposed = F.coalesce(v > F.col("_cut"), F.lit(False))
+        spike = proposed & (v > factor * F.col("_p"))
+        fault = F.when(impossible(f), "impossible").when(F.col(f"_stuck_{f.name}"), "stuck").when(spike, "spike")
+        flagged = flagged.join(mine, on, "left").withColumns({f"fault_{f.name}": fault, f"proposed_{f.name}": proposed}).drop("_src", "_sea", "_p", "_cut", f"_stuck_{f.name}")
     return flagged.drop("_season")

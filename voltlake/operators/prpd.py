@@ -187,7 +187,7 @@ def feature_means(rows: DataFrame, keys: Sequence[str], features: Sequence[str],
     def cut(n: Column) -> Column:
         return F.when(n >= 5, F.floor(n * trim)).otherwise(F.lit(0))
 
-    stats, totals = order_statistics(base, [list(keys)], list(features), lambda n: F.array_distinct(F.array(cut(n), n - 1 - cut(n))))
+    stats, totals = order_statistics(base, list(keys), list(features), lambda n: F.array_distinct(F.array(cut(n), n - 1 - cut(n))))
     ends = stats.groupBy(*keys, "measure").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
     ends = materialize(ends, "ends")
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias("v")) for f in features]))

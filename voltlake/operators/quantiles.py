@@ -1,37 +1,21 @@
-"""Order statistics of grouped numeric columns by counting, without sorting groups.
+"""Order statistics of grouped numeric columns, narrowed by Spark's quantile sketches.
 
-A first pass counts values per group in buckets of fixed relative width. These counts
-add up over partitions, days and groups. Further passes narrow the bucket that holds a
-wanted rank: rows are counted below many midpoints at once, until the rank is resolved
-or the interval is small enough to number its rows.
+A sketch of each group brackets the wanted ranks; rows below a bracket are counted and
+rows within it kept; brackets are narrowed by sketches of their own rows until they are
+small enough to number. No group is sorted or gathered whole.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltlake.runtime import materialize, row_count_up_to, small_side
 
-#: Buckets per unit of natural logarithm in the first pass: a bucket's ends differ by a
-#: factor of exp(1/RESOLUTION).
-RESOLUTION = 32
-#: Midpoints counted at once in each later pass, and rows below which an interval is numbered.
-SPLITS = 256
-LEAF_ROWS = 4096
-
-#: Largest relative distance of a value from the geometric middle of its first-pass bucket.
-RELATIVE_ERROR = math.exp(0.5 / RESOLUTION) - 1
-
-
-def value_bucket(v: Column, resolution: int = RESOLUTION) -> Column:
-    """A bucket number that never falls when ``v`` rises; zero has its own bucket."""
-    shift = 746 * resolution
-    magnitude = F.floor(F.ln(F.abs(v)) * resolution) + shift
-    return F.when(v > 0, magnitude).when(v < 0, -magnitude).otherwise(F.lit(0)).cast("int")
+#: Steps between the cut points of a sketch, its accuracy, and rows that are numbered at once.
+STEPS, ACCURACY, LEAF_ROWS = 128, 1000, 4096
 
 
 def finite(v: Column) -> Column:
@@ -44,169 +28,91 @@ def long_measures(df: DataFrame, keys: Sequence[str], measures: Sequence[str]) -
     return df.select(*keys, cells.alias("_cell")).select(*keys, "_cell.measure", "_cell.v").where(finite(F.col("v")))
 
 
-def bucket_counts(rows: DataFrame, keys: Sequence[str], resolution: int = RESOLUTION) -> DataFrame:
-    """The mergeable summary: rows, smallest and largest value per group, measure and bucket."""
-    return (
-        rows.withColumn("bucket", value_bucket(F.col("v"), resolution))
-        .groupBy(*keys, "measure", "bucket")
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-
-
-def merge_counts(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Summaries of fewer keys (or of several days) from finer ones, without the rows."""
-    return counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-
-
-def approx_percentiles(counts: DataFrame, keys: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Percentiles from summaries alone: per group, measure and probability the bucket that
-    holds the rank and its ends; the true order statistic lies between ``lo`` and ``hi``."""
-    placed = _place_ranks(counts, [*keys, "measure"], "bucket", _lower_ranks(probs))
-    return placed.select(*keys, "measure", F.explode("_hits").alias("_k"), "lo", "hi", F.col("_total").alias("n_values")).distinct()
-
-
-def _lower_ranks(probs: Sequence[float]):
-    return lambda total: F.array_distinct(F.array(*[F.floor(F.lit(p) * (total - 1)) for p in probs]))
-
-
-def _both_ranks(probs: Sequence[float]):
-    def ranks(total: Column) -> Column:
-        return F.array_distinct(F.array(*[f(F.lit(p) * (total - 1)) for p in probs for f in (F.floor, F.ceil)]))
-
-    return ranks
-
-
-def _place_ranks(counts: DataFrame, group: list[str], order: str, ranks) -> DataFrame:
-    """Each bucket with the wanted ranks (from 0) that fall into it as ``_hits``."""
-    upto = Window.partitionBy(*group).orderBy(order)
-    all_ = Window.partitionBy(*group)
-    counted = counts.withColumn("_cum", F.sum("n").over(upto)).withColumn("_total", F.sum("n").over(all_))
-    before = F.col("_cum") - F.col("n")
-    hits = F.filter(ranks(F.col("_total")), lambda k: (k >= F.col("_cum") - F.col("n")) & (k < F.col("_cum")))
-    return counted.withColumn("_before", before).withColumn("_hits", hits).where(F.size("_hits") > 0)
+def _sketch(rows: DataFrame, by: Sequence[str], steps: int) -> DataFrame:
+    grid = F.percentile_approx("v", [i / steps for i in range(steps + 1)], ACCURACY)
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), grid.alias("grid"))
 
 
 def order_statistics(
-    df: DataFrame,
-    groupings: Sequence[Sequence[str]],
-    measures: Sequence[str],
-    ranks,
-    resolution: int = RESOLUTION,
-    splits: int = SPLITS,
-    leaf_rows: int = LEAF_ROWS,
+    df: DataFrame, keys: Sequence[str], measures: Sequence[str], ranks: Callable[[Column], Column], leaf_rows: int = LEAF_ROWS, steps: int = STEPS
 ) -> tuple[DataFrame, DataFrame]:
-    """(statistics, totals): per grouping, group and measure the values ``x`` of the ranks
-    ``k`` (from 0) that ``ranks`` makes of the number of values, and that number."""
-    keys = list(dict.fromkeys(k for g in groupings for k in g))
-    rows = long_measures(df, keys, measures).withColumn("bucket", value_bucket(F.col("v"), resolution))
-    finest = (
-        rows.groupBy(*keys, "measure", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-    )
-    finest = materialize(finest, "counts")
-    types = dict(rows.dtypes)
-
-    def blank(frame: DataFrame, number: int, grouping: Sequence[str]) -> DataFrame:
-        for k in keys:
-            if k not in grouping:
-                frame = frame.withColumn(k, F.lit(None).cast(types[k]))
-        return frame.withColumn("grouping", F.lit(number))
-
-    levels = [blank(finest if set(g) == set(keys) else merge_counts(finest, g), i, g) for i, g in enumerate(groupings)]
-    counts = levels[0]
-    for level in levels[1:]:
-        counts = counts.unionByName(level)
-    group = ["grouping", *keys, "measure"]
-    placed = materialize(_place_ranks(counts, group, "bucket", ranks), "ranks")
-    totals = placed.groupBy(*group).agg(F.max("_total").alias("n_values"))
+    """(statistics, totals): per group and measure the values ``x`` of the ranks ``k`` (from
+    0) that ``ranks`` makes of the number of values, and that number ``n_values``.
+
+    A group's sketch is off by less than one of its steps, so a rank lies between the cut
+    points one before and two behind it. Equal values within such a bracket are added up
+    at once; a bracket of more than ``leaf_rows`` different values is cut again.
+    """
+    group = [*keys, "measure"]
+    rows = long_measures(df, keys, measures)
+    first = materialize(_sketch(rows, group, steps), "sketch")
+    totals = first.select(*group, F.col("n").alias("n_values"))
+    wanted = first.withColumn("k", F.explode(ranks(F.col("n")))).withColumn("k", F.col("k").cast("long"))
+    i = F.floor(F.col("k") * steps / F.col("n")).cast("int")
+    narrow = F.col("n") > leaf_rows
+    lo = F.when(narrow & (i >= 1), F.get("grid", i - 1)).otherwise(F.col("lo"))
+    hi = F.when(narrow & (i + 2 <= steps), F.get("grid", i + 2)).otherwise(F.col("hi"))
+    brackets = wanted.select(*group, "k", lo.alias("_lo"), hi.alias("_hi")).groupBy(*group, "_lo", "_hi").agg(F.array_sort(F.collect_set("k")).alias("ks"))
+    name = F.xxhash64(F.to_json(F.struct(*group, "_lo", "_hi"))).alias("id")
+    brackets = materialize(brackets.select(*group, name, "ks", F.col("_lo").alias("lo"), F.col("_hi").alias("hi")), "brackets")
     point = F.col("lo") == F.col("hi")
-    stats = placed.where(point).select(*group, F.explode("_hits").alias("k"), F.col("lo").alias("x"))
-    intervals = placed.where(~point).select(
-        *group, "bucket", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "n", "_before", "_hits"
-    ).withColumn("interval", F.xxhash64(*group, "bucket"))
-    open_rows = None
-    if row_count_up_to(intervals, 0):
-        side = small_side(intervals.drop("n"))
-        parts = []
-        for i, g in enumerate(groupings):
-            mine = side.where(F.col("grouping") == i)
-            on = (rows["measure"] == mine["measure"]) & (rows["bucket"] == mine["bucket"])
-            for k in g:
-                on = on & rows[k].eqNullSafe(mine[k])
-            parts.append(rows.join(mine, on).select("interval", "v"))
-        open_rows = parts[0]
-        for part in parts[1:]:
-            open_rows = open_rows.unionByName(part)
-        open_rows = materialize(open_rows, "open")
-    while open_rows is not None and row_count_up_to(intervals, 0):
-        leaves = intervals.where(F.col("n") <= leaf_rows)
-        numbered = (
-            open_rows.join(small_side(leaves.select("interval", *group, "_before", "_hits")), "interval")
-            .withColumn("k", F.row_number().over(Window.partitionBy("interval").orderBy("v")) - 1 + F.col("_before"))
-            .where(F.array_contains("_hits", F.col("k").cast("long")))
-            .select(*group, F.col("k").cast("long").alias("k"), F.col("v").alias("x"))
-        )
-        stats = stats.unionByName(numbered)
-        wide = intervals.where(F.col("n") > leaf_rows)
+
+    def settled(frame: DataFrame) -> DataFrame:
+        return frame.select(*group, F.explode("ks").alias("k"), F.col("lo").alias("x"))
+
+    stats = settled(brackets.where(point))
+    open_ = brackets.where(~point)
+    if not row_count_up_to(open_, 0):
+        return stats, totals
+    side = small_side(open_.select("id", "lo", "hi", *[F.col(c).alias(f"_{c}") for c in group]))
+    on = rows["measure"] == side["_measure"]
+    for k in keys:
+        on = on & rows[k].eqNullSafe(side[f"_{k}"])
+    met = rows.join(side, on).where(F.col("v") <= F.col("hi"))
+    kept = materialize(met.where(F.col("v") >= F.col("lo")).groupBy("id", "v").agg(F.count("*").alias("c")), "inside")
+    under = met.where(F.col("v") < F.col("lo")).groupBy("id").agg(F.count("*").alias("under"))
+    open_ = materialize(open_.join(under, "id", "left").select("id", *group, "ks", F.coalesce("under", F.lit(0)).alias("below")), "open")
+    while True:
+        sized = materialize(open_.join(kept.groupBy("id").agg(F.count("*").alias("n")), "id"), "sized")
+        leaves = small_side(sized.where(F.col("n") <= leaf_rows).select("id", *group, "below", "ks"))
+        upto = F.sum("c").over(Window.partitionBy("id").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) + F.col("below")
+        hits = F.filter("ks", lambda k: (k >= F.col("_upto") - F.col("c")) & (k < F.col("_upto")))
+        stats = stats.unionByName(kept.join(leaves, "id").withColumn("_upto", upto).select(*group, F.explode(hits).alias("k"), F.col("v").alias("x")))
+        wide = sized.where(F.col("n") > leaf_rows).drop("n")
         if not row_count_up_to(wide, 0):
-            break
-        step = F.floor((F.col("v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * splits)
-        inside = open_rows.join(small_side(wide.drop("n", "bucket")), "interval").withColumn(
-            "bucket", F.least(step, F.lit(splits - 1)).cast("int")
-        )
-        finer = inside.groupBy("interval", "bucket").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        about = wide.select("interval", *group, "_hits", F.col("_before").alias("_start"))
-        cum = F.sum("n").over(Window.partitionBy("interval").orderBy("bucket"))
-        found = (
-            finer.withColumn("_before", cum - F.col("n"))
-            .join(small_side(about), "interval")
-            .withColumn("_before", F.col("_before") + F.col("_start"))
-            .withColumn("_hits", F.filter("_hits", lambda k: (k >= F.col("_before")) & (k < F.col("_before") + F.col("n"))))
-            .where(F.size("_hits") > 0)
-            .withColumn("inner", F.xxhash64("interval", "bucket"))
-        )
-        found = materialize(found, "ranks")
-        stats = stats.unionByName(found.where(point).select(*group, F.explode("_hits").alias("k"), F.col("lo").alias("x")))
-        again = found.where(~point)
-        open_rows = materialize(
-            inside.join(small_side(again.select("interval", "bucket", "inner")), ["interval", "bucket"]).select(
-                F.col("inner").alias("interval"), "v"
-            ),
-            "open",
-        )
-        intervals = again.select(
-            *group, "bucket", F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "n", "_before", "_hits", F.col("inner").alias("interval")
-        )
-    return stats, totals
-
-
-def exact_percentiles(
-    df: DataFrame,
-    groupings: Sequence[Sequence[str]],
-    measures: Sequence[str],
-    probs: Sequence[float],
-    resolution: int = RESOLUTION,
-    splits: int = SPLITS,
-    leaf_rows: int = LEAF_ROWS,
-) -> DataFrame:
-    """Exact percentiles (linear between neighbouring order statistics) for every grouping.
-
-    Returns one row per grouping, group, measure and probability: ``grouping`` (its
-    position), all key columns (null where not in the grouping), ``measure``, ``prob``,
-    ``n_values``, ``value``. Null, NaN and infinite values do not count; groups without
-    a finite value do not appear. A null key is a group of its own. No group is ever
-    sorted or gathered whole: ``leaf_rows`` bounds what one window sees.
-    """
-    group = ["grouping", *dict.fromkeys(k for g in groupings for k in g), "measure"]
-    stats, totals = order_statistics(df, groupings, measures, _both_ranks(probs), resolution, splits, leaf_rows)
+            return stats, totals
+        many = kept.join(small_side(wide.select("id")), "id", "left_semi")
+        cuts = small_side(materialize(_sketch(many, ["id"], steps).select("id", "grid"), "cuts"))
+        placed = many.join(cuts, "id").select("id", "v", "c", F.size(F.filter("grid", lambda g: g < F.col("v"))).alias("b"))
+        sums = placed.groupBy("id", "b").agg(F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        sums = sums.withColumn("_upto", F.sum("c").over(Window.partitionBy("id").orderBy("b")))
+        about = sums.join(wide.withColumnRenamed("below", "_start"), "id").withColumn("_upto", F.col("_upto") + F.col("_start"))
+        about = about.withColumn("ks", hits).where(F.size("ks") > 0).withColumn("below", F.col("_upto") - F.col("c")).withColumn("inner", F.xxhash64("id", "b"))
+        about = materialize(about.select("id", "b", "inner", *group, "ks", "below", "lo", "hi"), "brackets")
+        stats = stats.unionByName(settled(about.where(point)))
+        again = about.where(~point)
+        kept = materialize(placed.join(small_side(again.select("id", "b", "inner")), ["id", "b"]).select(F.col("inner").alias("id"), "v", "c"), "inside")
+        open_ = again.select(F.col("inner").alias("id"), *group, "ks", "below")
+
+
+def exact_percentiles(df: DataFrame, keys: Sequence[str], measures: Sequence[str], probs: Sequence[float], leaf_rows: int = LEAF_ROWS, steps: int = STEPS) -> DataFrame:
+    """(keys..., measure, prob, n_values, value): exact percentiles, linear between
+    neighbouring order statistics. Null, NaN and infinite values do not count; groups
+    without a finite value do not appear. A null key is a group of its own."""
+    group = [*keys, "measure"]
+
+    def ranks(n: Column) -> Column:
+        return F.array_distinct(F.array(*[f(F.lit(float(p)) * (n - 1)) for p in probs for f in (F.floor, F.ceil)]))
+
+    stats, totals = order_statistics(df, keys, measures, ranks, leaf_rows, steps)
     wanted = totals.select(*group, "n_values", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("prob")).withColumn(
         "_r", F.col("prob") * (F.col("n_values") - 1)
     )
     both = wanted.withColumn("k", F.explode(F.array_distinct(F.array(F.floor("_r"), F.ceil("_r")))))
-    same = [both[c].eqNullSafe(stats[c]) for c in [*group, "k"]]
-    on = same[0]
-    for one in same[1:]:
-        on = on & one
+    on = both["k"] == stats["k"]
+    for c in group:
+        on = on & both[c].eqNullSafe(stats[c])
     ends = both.join(stats, on).select(*[both[c] for c in [*group, "n_values", "prob", "_r"]], "x")
     x0, x1 = F.min("x"), F.max("x")
     frac = F.first("_r") - F.floor(F.first("_r"))
-    return ends.groupBy(*group, "n_values", "prob").agg((x0 + (x1 - x0) * frac).alias("value"))
+    return ends.groupBy(*group, "prob", "n_values").agg((x0 + (x1 - x0) * frac).alias("value"))

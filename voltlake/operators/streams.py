@@ -110,7 +110,7 @@ def wavelet_events(coefficients: DataFrame, channel: str, percentile: float = 0.
     """(channel, band, sample, amplitude, threshold, significance): coefficients whose
     size exceeds the exact percentile of their channel and band."""
     sized = materialize(coefficients.withColumn("size", F.abs("coefficient")), "coefficients")
-    cuts = exact_percentiles(sized, [[channel, "band"]], ["size"], [percentile]).select(F.col(channel).alias("_c"), F.col("band").alias("_b"), F.col("value").alias("threshold"))
+    cuts = exact_percentiles(sized, [channel, "band"], ["size"], [percentile]).select(F.col(channel).alias("_c"), F.col("band").alias("_b"), F.col("value").alias("threshold"))
     spread = sized.groupBy(F.col(channel).alias("_c2"), F.col("band").alias("_b2")).agg(F.stddev_pop("coefficient").alias("sd"))
     side = cuts.join(spread, cuts["_c"].eqNullSafe(spread["_c2"]) & (cuts["_b"] == spread["_b2"])).drop("_c2", "_b2")
     side = small_side(side)

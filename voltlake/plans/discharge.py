@@ -25,9 +25,12 @@ def pulses_with_limits(spark: SparkSession, sf_dir: str, extra: tuple[str, ...]
     return pulses.join(F.broadcast(limits.dropDuplicates(["sensor_id"])), "sensor_id", "left")  # 48 sensors at every scale
 
 
-def flagged_pulses(spark: SparkSession, sf_dir: str, fields=(AMPLITUDE, SLEW), extra: tuple[str, ...] = ()) -> DataFrame:
+def flagged_pulses(spark: SparkSession, sf_dir: str, fields=(AMPLITUDE, SLEW), extra: tuple[str, ...] = (), fitted: bool = True) -> DataFrame:
+    """The pulses with their faults; without ``fitted`` by the spike rule alone, for those
+    who only need to leave faulty readings out."""
     base = materialize(pulses_with_limits(spark, sf_dir, extra), "pulses")
-    return faults.flag_faults(base, "sensor_id", "acquisition_id", ["trigger_time", "pulse_id", "pulse_key"], hour_of_day("recorded_at"), list(fields))
+    season = hour_of_day("recorded_at") if fitted else None
+    return faults.flag_faults(base, "sensor_id", "acquisition_id", ["trigger_time", "pulse_id", "pulse_key"], season, list(fields))
 
 
 def flagged_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,10 +58,20 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p5_cutoffs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted tail of each sensor, field and hour of day."""
     base = materialize(pulses_with_limits(spark, sf_dir), "pulses")
-    cuts = faults.tail_cutoffs(base, "sensor_id", hour_of_day("recorded_at"), [AMPLITUDE, SLEW])
+    long = faults.possible_readings(base, "sensor_id", hour_of_day("recorded_at"), [AMPLITUDE, SLEW])
+    cuts = faults.tail_cutoffs(long, faults.tail_percentiles(long, "sensor_id"), "sensor_id")
     return cuts.withColumnRenamed("_season", "hour_of_day")
 
 
+def p5_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sensor and field: readings above the fitted cutoffs, and the spikes among them."""
+    pulses = materialize(flagged_pulses(spark, sf_dir), "flagged")
+    cells = [F.struct(F.lit(f.name).alias("field_name"), F.col(f"proposed_{f.name}").alias("p"), F.col(f"fault_{f.name}").alias("k")) for f in (AMPLITUDE, SLEW)]
+    long = pulses.select("sensor_id", F.explode(F.array(*cells)).alias("c")).select("sensor_id", "c.*")
+    sound = F.col("p") & (F.col("k").isNull() | (F.col("k") == "spike"))
+    return long.groupBy("sensor_id", "field_name").agg(F.count("*").alias("n"), F.count(F.when(sound, 1)).alias("proposed"), F.count(F.when(F.col("k") == "spike", 1)).alias("spikes"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Invalid settings lines with the first reason that applies."""
     lines = read_table(spark, sf_dir, "sg_lines").select("line_id", "raw_line")
@@ -97,6 +110,7 @@ QUERIES = {
     "p4_valid": p4_valid,
     "p5_found": p5_found,
     "p5_cutoffs": p5_cutoffs,
+    "p5_peaks": p5_peaks,
 }
 
 _P5_TABLE = """

@@ -76,7 +76,7 @@ def band_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = rows.groupBy("band", "source").agg(
         F.count("*").alias("n"), F.avg("amplitude").alias("mean"), F.stddev_pop("amplitude").alias("std"), F.min("amplitude").alias("lowest"), F.max("amplitude").alias("highest")
     )
-    mids = exact_percentiles(rows, [["band", "source"]], ["amplitude"], [0.5]).select("band", "source", F.col("value").alias("median"))
+    mids = exact_percentiles(rows, ["band", "source"], ["amplitude"], [0.5]).select("band", "source", F.col("value").alias("median"))
     return stats.join(mids, ["band", "source"]).select("band", "source", "n", *[digits(F.col(c)).alias(c) for c in ("mean", "std", "lowest", "highest", "median")])
 
 
