@@ -53,43 +53,74 @@ def make(seed, spread, n=260):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "spread"), [(1, 1.0), (2, 2.0)])
+def grid_of(spark, rows):
+    return similarity.on_grid(spark.createDataFrame(rows, SCHEMA), LIKE)
+
+
+@pytest.mark.parametrize(("seed", "spread"), [(1, 1.0), (2, 2.0), (5, 3.0)])
 def test_connected_groups_against_all_pairs(spark, seed, spread):
     rows = make(seed, spread)
-    found = similarity.cluster(spark.createDataFrame(rows, SCHEMA), LIKE)
-    got = {tuple(r) for r in similarity.connected_groups(found, 5).collect()}
+    got = {tuple(r) for r in similarity.connected_groups(grid_of(spark, rows), 5).collect()}
     assert got == brute(rows, 5)
 
 
-def test_cells_hold_alike_records_and_links_are_true(spark):
-    rows = {r[1]: r for r in make(3, 1.5)}
-    found = similarity.cluster(spark.createDataFrame(list(rows.values()), SCHEMA), LIKE)
+def cells_by_rows(grid, rows):
     cells = {}
-    for r in found.points.collect():
+    for r in grid.points.collect():
         cells.setdefault(r["cell"], []).append(rows[r["_key"]])
-    for members in cells.values():
-        assert all(alike(x, y) for x in members for y in members)
-    for link in found.links.collect():
-        assert any(alike(x, y) for x in cells[link["u"]] for y in cells[link["v"]])
-    members = found.members.collect()
-    assert len(members) == len(cells) == len({m["cell"] for m in members})
+    return cells
 
 
 @pytest.mark.parametrize(("seed", "spread"), [(3, 1.5), (4, 1.0)])
 def test_links_are_all_alike_pairs_of_cells(spark, seed, spread):
     rows = {r[1]: r for r in make(seed, spread)}
-    found = similarity.cluster(spark.createDataFrame(list(rows.values()), SCHEMA), LIKE)
-    placed = [(r["cell"], rows[r["_key"]]) for r in found.points.collect()]
+    grid = grid_of(spark, list(rows.values()))
+    cells = cells_by_rows(grid, rows)
+    for members in cells.values():
+        assert all(alike(x, y) for x in members for y in members)
+    placed = [(c, r) for c, rs in cells.items() for r in rs]
     want = {frozenset((a, b)) for a, x in placed for b, y in placed if a != b and x[0] == y[0] and alike(x, y)}
-    got = [frozenset((r["u"], r["v"])) for r in found.links.collect()]
+    got = [frozenset((r["u"], r["v"])) for r in similarity.all_links(grid).collect()]
     assert len(got) == len(set(got))
     assert set(got) == want
 
 
+@pytest.mark.parametrize(("seed", "spread"), [(3, 1.5), (6, 0.7)])
+def test_pivots_are_apart_and_members_alike_to_them(spark, seed, spread):
+    rows = {r[1]: r for r in make(seed, spread)}
+    grid = grid_of(spark, list(rows.values()))
+    links = similarity.all_links(grid)
+    linked = {frozenset((r["u"], r["v"])) for r in links.collect()}
+    hashes = {r["cell"]: (r["hash"], r["cell"]) for r in grid.cells.collect()}
+    absorbed = {r["cell"]: r["pivot"] for r in similarity.pivot_clusters(grid.cells, links).collect()}
+    assert set(absorbed) == set(hashes)
+    pivots = set(absorbed.values())
+    assert not any(frozenset((a, b)) in linked for a in pivots for b in pivots if a != b)
+    # the greedy walk in the order of the hashes gives the same pivots
+    taken, want = set(), set()
+    for cell in sorted(hashes, key=hashes.get):
+        if cell not in taken:
+            want.add(cell)
+            taken |= {cell} | {c for c in hashes if frozenset((c, cell)) in linked}
+    assert pivots == want
+    mark = {r["cell"]: rows[k] for r in grid.cells.collect() for k in rows if abs(rows[k][2] or 0) == abs(r["p0"]) and rows[k][3] == r["p1"] and rows[k][4] == r["p2"]}
+
+    def far(x, y):
+        turn = abs(x[2] - y[2]) % 360
+        return math.sqrt((min(turn, 360 - turn) / 25) ** 2 + sum((math.log(x[i] / y[i]) / math.log(1.4)) ** 2 for i in (3, 4)))
+
+    members = similarity.pivot_members(grid, links).collect()
+    assert sorted(m["_key"] for m in members) == sorted(k for k, r in rows.items() if good(r))
+    for m in members:
+        options = [p for p in pivots if p == m["cell"] or frozenset((p, m["cell"])) in linked]
+        assert m["pivot"] in options
+        assert far(rows[m["_key"]], mark[m["pivot"]]) <= min(far(rows[m["_key"]], mark[p]) for p in options) + 1e-6
+
+
 def test_clusters_are_described(spark):
     rows = [(1, i, 10.0 + i % 3, 1.0 + 0.01 * (i % 5), 2.0, "x") for i in range(30)]
-    found = similarity.cluster(spark.createDataFrame(rows, SCHEMA), LIKE)
-    facts = similarity.described(found).collect()
+    grid = grid_of(spark, rows)
+    facts = similarity.described(grid, similarity.pivot_members(grid, similarity.all_links(grid))).collect()
     assert sum(r["size"] for r in facts) == 30
     big = max(facts, key=lambda r: r["size"])
     assert big["a"] == pytest.approx(1.02, rel=0.02)
@@ -98,14 +129,13 @@ def test_clusters_are_described(spark):
 
 def test_chain_longer_than_a_round(spark):
     rows = [(1, i, 0.0, 1.35**i, 1.0, "x") for i in range(40)]
-    found = similarity.cluster(spark.createDataFrame(rows, SCHEMA), LIKE)
-    assert {tuple(r) for r in similarity.connected_groups(found).collect()} == {(0, i) for i in range(40)}
+    assert {tuple(r) for r in similarity.connected_groups(grid_of(spark, rows)).collect()} == {(0, i) for i in range(40)}
 
 
 def test_empty(spark):
-    found = similarity.cluster(spark.createDataFrame([], SCHEMA), LIKE)
-    assert similarity.connected_groups(found).count() == 0
-    assert similarity.described(found).count() == 0
+    grid = grid_of(spark, [])
+    assert similarity.connected_groups(grid).count() == 0
+    assert similarity.described(grid, similarity.pivot_members(grid, similarity.all_links(grid))).count() == 0
 
 
 def test_components_of_a_path_and_a_ring(spark):
