@@ -1,9 +1,10 @@
 """Records whose fields drift between files: rescue-column ingestion and a change report.
 
-Every record is read whole as a variant. Fields of the target schema are cast; what is
-unknown or cannot be cast stays in a rescue column as JSON. Comparing each file with the
-file before it names the fields that were added, removed, renamed or retyped; renames
-approve further names, whose rescued values are replayed into the typed columns.
+Every record is read whole as a map of variants. Fields of the target schema are cast;
+what is unknown or cannot be cast stays in a rescue column as JSON. The fields of a file
+are those of its typed and rescued values; comparing each file with the file before it
+names the fields that were added, removed, renamed or retyped. Renames approve further
+names, whose rescued values are replayed into the typed columns.
 """
 
 from __future__ import annotations
@@ -15,44 +16,93 @@ from voltlake.runtime import materialize, row_count_up_to, small_side
 
 #: Relative difference up to which two numbers are the same after a change of unit.
 SAME = 1e-6
-#: Powers of a thousand that a change of unit may have.
-MAX_POWER = 4
 #: Texts that stand for no value.
 NO_VALUE = ("", "n/a", "na", "nan", "none", "null", "-")
 
 NUMBER_WITH_UNIT = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*[^\s0-9.,+-]{0,8}\s*$"
 
 RECORD = ["file_id", "record_no"]
+FIELDS = "map<string,variant>"
 
+#: The target schema: field -> type; whole numbers from zero are the only castable longs.
+TARGETS = {"sample_interval": "double", "ac_frequency": "double", "total_records": "long"}
 
-def record_cells(records: DataFrame, payload: str = "payload", name_field: str = "dataset") -> DataFrame:
-    """One row per file, record and key: (file_id, record_no, dataset, key, kind, scalar,
-    num, raw). ``kind`` is number, text, object, list, boolean or null; ``scalar`` is the
-    text of the value itself, within an object or list too. Records given twice count
-    once (the smallest payload). A payload that is no JSON object has no cells.
-    """
-    once = records.groupBy(*RECORD).agg(F.min(payload).alias("_payload"))
-    parsed = once.select(*RECORD, F.try_parse_json("_payload").alias("_json"))
-    parsed = parsed.where(F.schema_of_variant("_json").startswith("OBJECT"))
-    spark = records.sparkSession
-    exploded = parsed.lateralJoin(spark.tvf.variant_explode(F.col("_json").outer()))
-    name = F.try_variant_get("_json", f"$.{name_field}", "string")
-    shape = F.schema_of_variant("value")
-    kind = (
-        F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "list").when(shape == "STRING", "text")
+
+def _kind(value: Column) -> Column:
+    """number, text, object, list or boolean; null for a JSON null."""
+    shape = F.schema_of_variant(value)
+    return (
+        F.when(value.isNull(), F.lit(None)).when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "list").when(shape == "STRING", "text")
         .when(shape == "BOOLEAN", "boolean").when(shape != "VOID", "number")
     )
+
+
+def _scalar(value: Column) -> Column:
+    """The text of the value itself, within an object or list too; null for no value."""
+    kind = _kind(value)
     inner = (
-        F.when(kind == "object", F.coalesce(F.try_variant_get("value", "$.value", "string"), F.to_json("value")))
-        .when(kind == "list", F.coalesce(F.try_variant_get("value", "$[0]", "string"), F.to_json("value")))
-        .otherwise(F.try_variant_get("value", "$", "string"))
-    )
-    cells = exploded.where((F.col("key") != name_field)).select(
-        *RECORD, name.alias("dataset"), "key", kind.alias("kind"), inner.alias("scalar"), F.to_json("value").alias("raw")
+        F.when(kind == "object", F.coalesce(F.try_variant_get(value, "$.value", "string"), F.to_json(value)))
+        .when(kind == "list", F.coalesce(F.try_variant_get(value, "$[0]", "string"), F.to_json(value)))
+        .otherwise(F.try_variant_get(value, "$", "string"))
     )
-    text = F.when(~F.lower(F.trim("scalar")).isin(*NO_VALUE), F.trim("scalar"))
-    number = F.nullif(F.regexp_extract(text, NUMBER_WITH_UNIT, 1), F.lit("")).try_cast("double")
-    return cells.withColumn("scalar", text).withColumn("num", number)
+    return F.when(~F.lower(F.trim(inner)).isin(*NO_VALUE), F.trim(inner))
+
+
+def _number(scalar: Column) -> Column:
+    return F.nullif(F.regexp_extract(scalar, NUMBER_WITH_UNIT, 1), F.lit("")).try_cast("double")
+
+
+def _cast(num: Column, kind: str, tolerance: float = 0.0) -> Column:
+    whole = F.abs(num - F.round(num)) <= tolerance
+    return F.when((num >= 0) & whole & (num < 9e18), F.round(num)) if kind == "long" else num
+
+
+def _without(fields: Column, key: Column) -> Column:
+    return F.map_filter(fields, lambda k, _: k != key)
+
+
+def _object(fields: Column) -> Column:
+    """The JSON text of the fields, null if there are none."""
+    return F.when(F.size(fields) > 0, F.to_json(fields))
+
+
+def ingest(records: DataFrame, targets: dict[str, str] = TARGETS, payload: str = "payload", name_field: str = "dataset") -> DataFrame:
+    """One row per record: file_id, record_no, logger_id, written_at, ``parsed``, dataset,
+    the target fields, cast, ``forms`` (target -> kind of the value that was cast) and
+    ``rescued``: the JSON object of all other fields and of target fields that cannot be
+    cast, their values unchanged (null if there are none).
+
+    Records given twice count once (the smallest payload). A payload that is no JSON
+    object is not parsed and rescued as a text.
+    """
+    once = records.groupBy(*RECORD).agg(F.min("logger_id").alias("logger_id"), F.min("written_at").alias("written_at"), F.min(payload).alias("_payload"))
+    sound = F.coalesce(F.schema_of_variant(F.try_parse_json("_payload")).startswith("OBJECT"), F.lit(False))
+    rows = once.withColumn("parsed", sound).withColumn("_m", F.when(F.col("parsed"), F.from_json("_payload", FIELDS)))
+    value = {t: F.try_element_at("_m", F.lit(t)) for t in targets}
+    rows = rows.withColumns({f"_n_{t}": _cast(_number(_scalar(v)), targets[t]) for t, v in value.items()})
+    cast = {t: F.col(f"_n_{t}").isNotNull() for t in targets}
+    stays = F.map_filter("_m", lambda k, v: k != name_field)
+    for t, c in cast.items():
+        stays = F.when(c, _without(stays, F.lit(t))).otherwise(stays)
+    forms = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("k"), F.when(cast[t], _kind(v)).alias("v")) for t, v in value.items()]), lambda e: e["v"].isNotNull()))
+    rescued = F.when(F.col("parsed"), _object(stays)).otherwise(F.to_json(F.struct(F.col("_payload").alias("unparsed"))))
+    name = F.try_variant_get(F.try_element_at("_m", F.lit(name_field)), "$", "string")
+    return rows.select(*RECORD, "logger_id", "written_at", "parsed", name.alias("dataset"), *[F.col(f"_n_{t}").cast(k).alias(t) for t, k in targets.items()], forms.alias("forms"), rescued.alias("rescued"))
+
+
+def field_cells(table: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
+    """One row per file, record and key of an ingested table: (file_id, record_no, dataset,
+    key, kind, scalar, num), from the typed columns and the rescued fields."""
+    cell = lambda key, kind, scalar, num: F.struct(key.alias("key"), kind.alias("kind"), scalar.alias("scalar"), num.alias("num"))
+    number = {t: F.col(t).cast("double") for t in targets}
+    typed = F.filter(F.array(*[cell(F.lit(t), F.try_element_at("forms", F.lit(t)), n.cast("string"), n) for t, n in number.items()]), lambda c: c["kind"].isNotNull())
+    fields = F.when(F.col("parsed"), F.from_json("rescued", FIELDS))
+    others = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), _kind(e["value"]).alias("kind"), _scalar(e["value"]).alias("scalar")))
+    others = F.transform(others, lambda c: cell(c["key"], c["kind"], c["scalar"], _number(c["scalar"])))
+    return table.select(*RECORD, "dataset", F.explode(F.concat(typed, F.coalesce(others, F.array().cast(_CELLS)))).alias("c")).select(*RECORD, "dataset", "c.*")
+
+
+_CELLS = "array<struct<key:string,kind:string,scalar:string,num:double>>"
 
 
 def file_sequence(records: DataFrame) -> DataFrame:
@@ -78,8 +128,8 @@ def _both_sides(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 def field_changes(cells: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(changes, renames). ``changes``: (file_id, change_kind, field_before, field_after),
-    the name that is missing being empty. ``renames``: (file_id, before, after, power)
-    where before = after * 1000 ** power.
+    the name that is missing being empty. ``renames``: (file_id, logger_id, before, after,
+    power) where before = after * 1000 ** power.
 
     The first file of a logger has no changes. A field whose values are all null has no
     type. Names hold the same quantity if more of the comparable values of the records
@@ -106,7 +156,7 @@ def field_changes(cells: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
     zero = (F.col("n0") == 0) & (F.col("n1") == 0)
     ratio = F.try_divide("n0", "n1")
     power = F.when(ratio > 0, F.round(F.log10(ratio) / 3)).cast("int")
-    same_number = zero | ((F.abs(power) <= MAX_POWER) & (F.abs(ratio / F.pow(F.lit(1000.0), power) - 1) <= SAME))
+    same_number = zero | (F.abs(ratio / F.pow(F.lit(1000.0), power) - 1) <= SAME)
     comparable = F.col("n0").isNotNull() == F.col("n1").isNotNull()
     agrees = F.when(F.col("n0").isNotNull(), F.coalesce(same_number, F.lit(False))).otherwise(F.lower("s0") == F.lower("s1"))
     judged = met.where(comparable).withColumn("agrees", agrees).withColumn("power", F.when(F.col("agrees") & ~F.coalesce(zero, F.lit(False)), F.coalesce(power, F.lit(0))))
@@ -140,76 +190,58 @@ def field_changes(cells: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFr
         .unionByName(row(removed, "removed", F.col("key"), empty))
         .unionByName(row(added, "added", empty, F.col("key")))
     )
-    return changes, renames.withColumnRenamed("pair", "file_id")
-
-
-#: The target schema: field -> (type, whether only whole numbers from zero are castable).
-TARGETS = {"sample_interval": "double", "ac_frequency": "double", "total_records": "long"}
-
-
-def _cast(num: Column, kind: str) -> Column:
-    whole = F.abs(num - F.round(num)) <= 1e-6
-    return F.when((num >= 0) & whole & (num < 9e18), F.round(num)) if kind == "long" else num
-
-
-def ingest(cells: DataFrame, records: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
-    """One row per record: the target fields, cast, and ``rescued``: the JSON object of
-    all other fields and of target fields that cannot be cast (null if there are none).
-    Records without any cell keep their row, their payload being rescued as a text.
-    """
-    base = records.groupBy(*RECORD).agg(F.min("logger_id").alias("logger_id"), F.min("written_at").alias("written_at"), F.min("payload").alias("_payload"))
-    cast = {t: F.when(F.col("key") == t, _cast(F.col("num"), kind)) for t, kind in targets.items()}
-    typed = F.coalesce(*[F.when(F.col("key") == t, c) for t, c in cast.items()])
-    stays = F.when(typed.isNull(), F.struct("key", F.concat(F.to_json(F.array("key")), F.lit(":"), "raw").alias("pair")))
-    parts = F.array_sort(F.collect_list(stays))
-    entry = F.transform(parts, lambda p: F.regexp_replace(p["pair"], r'^\[("(?:[^"\\]|\\.)*")\]:', "$1:"))
-    wide = cells.groupBy(*RECORD).agg(
-        F.min("dataset").alias("dataset"), *[F.max(c).cast(targets[t]).alias(t) for t, c in cast.items()],
-        F.when(F.size(parts) > 0, F.concat(F.lit("{"), F.array_join(entry, ","), F.lit("}"))).alias("rescued"), F.lit(True).alias("_seen"),
-    )
-    joined = base.join(wide, RECORD, "left")
-    return joined.withColumn("rescued", F.when(F.col("_seen").isNull(), F.to_json(F.struct(F.col("_payload").alias("unparsed")))).otherwise(F.col("rescued"))).drop("_payload", "_seen")
+    named = renames.withColumnRenamed("pair", "file_id")
+    return changes, named.join(files.select("file_id", "logger_id"), "file_id")
 
 
 def approved_names(renames: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
-    """(key, target, power): names that renames lead to from the target fields, with
-    target = value * 1000 ** power. One target per name, by the most renames; chains of
-    renames are followed to their end."""
-    spark = renames.sparkSession
-    votes = renames.groupBy("before", "after", "power").agg(F.count("*").alias("votes"))
-    edges = votes.select(F.col("before").alias("a"), F.col("after").alias("b"), F.col("power").alias("step"), "votes").unionByName(
-        votes.select(F.col("after").alias("a"), F.col("before").alias("b"), (-F.col("power")).alias("step"), "votes")
+    """(logger_id, key, target, power): names that renames lead to from the target fields,
+    with target = value * 1000 ** power; one target per name, by the most renames. Chains
+    of renames are followed to their end. A logger's own renames decide for it; rows with
+    a null logger hold what the renames of all loggers together lead to."""
+    alone = _followed(renames.where(F.col("logger_id").isNotNull()), ["logger_id"], targets)
+    together = _followed(renames, [], targets).select(F.lit(None).cast(dict(renames.dtypes)["logger_id"]).alias("logger_id"), "key", "target", "power")
+    return alone.select("logger_id", "key", "target", "power").unionByName(together)
+
+
+def _followed(renames: DataFrame, by: list[str], targets: dict[str, str]) -> DataFrame:
+    votes = renames.groupBy(*by, "before", "after", "power").agg(F.count("*").alias("votes"))
+    edges = votes.select(*by, F.col("before").alias("a"), F.col("after").alias("b"), F.col("power").alias("step"), "votes").unionByName(
+        votes.select(*by, F.col("after").alias("a"), F.col("before").alias("b"), (-F.col("power")).alias("step"), "votes")
     )
     edges = materialize(edges, "edges")
-    known = spark.createDataFrame([(t, t, 0) for t in targets], "key string, target string, power int")
+    start = renames.sparkSession.createDataFrame([(t, t, 0) for t in targets], "key string, target string, power int")
+    known = edges.select(*by).distinct().crossJoin(F.broadcast(start)) if by else start  # one row per target field
     while True:
-        reach = known.join(edges, known["key"] == edges["a"]).join(known.select(F.col("key").alias("b")), "b", "left_anti")
+        reach = known.withColumnRenamed("key", "a").join(edges, [*by, "a"]).join(known.select(*by, F.col("key").alias("b")), [*by, "b"], "left_anti")
         if not row_count_up_to(reach, 0):
             return known
-        step = reach.groupBy("b", "target", (F.col("power") + F.col("step")).cast("int").alias("power")).agg(F.sum("votes").alias("votes"))
-        pick = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("votes"), F.abs("power"), "target"))
-        fresh = step.withColumn("_r", pick).where(F.col("_r") == 1).select(F.col("b").alias("key"), "target", "power")
+        step = reach.groupBy(*by, "b", "target", (F.col("power") + F.col("step")).cast("int").alias("power")).agg(F.sum("votes").alias("votes"))
+        pick = F.row_number().over(Window.partitionBy(*by, "b").orderBy(F.desc("votes"), F.abs("power"), "target"))
+        fresh = step.withColumn("_r", pick).where(F.col("_r") == 1).select(*by, F.col("b").alias("key"), "target", "power")
         known = materialize(known.unionByName(fresh), "names")
 
 
 def replay(table: DataFrame, names: DataFrame, targets: dict[str, str] = TARGETS) -> DataFrame:
-    """Moves rescued values of approved names into the typed columns that are still null.
-    What was replayed leaves the rescue column; what cannot be cast stays there."""
-    spark = table.sparkSession
-    variant = table.where(F.col("rescued").isNotNull()).select(*RECORD, F.try_parse_json("rescued").alias("_json"))
-    cells = variant.lateralJoin(spark.tvf.variant_explode(F.col("_json").outer())).select(*RECORD, "key", "value")
-    inner = F.coalesce(F.try_variant_get("value", "$.value", "string"), F.try_variant_get("value", "$[0]", "string"), F.try_variant_get("value", "$", "string"))
-    num = F.nullif(F.regexp_extract(inner, NUMBER_WITH_UNIT, 1), F.lit("")).try_cast("double")
-    known = cells.join(small_side(names), "key").withColumn("num", num * F.pow(F.lit(1000.0), F.col("power")))
-    casts = {t: F.when(F.col("target") == t, _cast(F.col("num"), kind)) for t, kind in targets.items()}
-    typed = F.coalesce(*casts.values())
-    found = known.groupBy(*RECORD).agg(
-        *[F.max(c).cast(targets[t]).alias(f"_{t}") for t, c in casts.items()],
-        F.collect_set(F.when(typed.isNotNull(), F.col("key"))).alias("_done"),
-    )
-    joined = table.join(found, RECORD, "left")
-    for t in targets:
-        joined = joined.withColumn(t, F.coalesce(F.col(t), F.col(f"_{t}"))).drop(f"_{t}")
-    left = F.map_filter(F.from_json("rescued", "map<string,string>"), lambda k, v: ~F.coalesce(F.array_contains("_done", k), F.lit(False)))
-    still = F.map_keys(left)
-    return joined.withColumn("rescued", F.when(F.size("_done") > 0, F.when(F.size(still) > 0, F.to_json(left))).otherwise(F.col("rescued"))).drop("_done")
+    """Moves rescued values of approved names into the typed columns that are still null:
+    of several castable ones the first by name. Only the value that was stored leaves the
+    rescue column; all others stay there unchanged."""
+    fields = F.when(F.col("parsed"), F.from_json("rescued", FIELDS))
+    cells = table.select(*RECORD, "logger_id", F.explode(fields).alias("key", "value"))
+    mine = small_side(names.where(F.col("logger_id").isNotNull()).select(F.col("logger_id").alias("_l"), F.col("key").alias("_k"), F.struct("target", "power").alias("own")))
+    anyone = small_side(names.where(F.col("logger_id").isNull()).select("key", F.struct("target", "power").alias("other")))
+    met = cells.join(mine, (cells["logger_id"] == mine["_l"]) & (cells["key"] == mine["_k"]), "left").join(anyone, "key", "left")
+    met = met.withColumn("as", F.coalesce("own", "other")).where(F.col("as").isNotNull())
+    num = _number(_scalar(F.col("value"))) * F.pow(F.lit(1000.0), F.col("as.power"))
+    met = met.select(*RECORD, "key", F.col("as.target").alias("target"), num.alias("num"))
+    typed = {t: F.when(F.col("target") == t, _cast(F.col("num"), kind, 1e-6)) for t, kind in targets.items()}
+    best = [F.min(F.when(v.isNotNull(), F.struct("key", v.alias("v")))).alias(f"_{t}") for t, v in typed.items()]
+    joined = table.join(met.groupBy(*RECORD).agg(*best), RECORD, "left").withColumn("_left", F.when(F.col("parsed"), F.from_json("rescued", FIELDS)))
+    moved = F.lit(False)
+    for t, kind in targets.items():
+        use = F.col(t).isNull() & F.col(f"_{t}.key").isNotNull()
+        moved = moved | use
+        joined = joined.withColumn("_left", F.when(use, _without(F.col("_left"), F.col(f"_{t}.key"))).otherwise(F.col("_left")))
+    joined = joined.withColumn("rescued", F.when(moved, _object(F.col("_left"))).otherwise(F.col("rescued")))
+    filled = {t: F.coalesce(F.col(t), F.col(f"_{t}.v").cast(kind)) for t, kind in targets.items()}
+    return joined.withColumns(filled).drop("_left", *[f"_{t}" for t in targets])

@@ -88,19 +88,23 @@ def _settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "settings_dump").select("file_id", "logger_id", "written_at", "record_no", "payload")
 
 
+def _drifted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(ingested records, changes, renames)."""
+    records = _settings(spark, sf_dir)
+    table = materialize(drift.ingest(records), "ingested")
+    cells = materialize(drift.field_cells(table), "cells")
+    return table, *drift.field_changes(cells, materialize(drift.file_sequence(table), "files"))
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Changes of each settings file against the file before it of the same logger."""
-    records = _settings(spark, sf_dir)
-    cells = materialize(drift.record_cells(records), "cells")
-    return drift.field_changes(cells, materialize(drift.file_sequence(records), "files"))[0]
+    return _drifted(spark, sf_dir)[1]
 
 
 def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All settings records in one table: seconds, hertz, whole counts, rescued rest."""
-    records = _settings(spark, sf_dir)
-    cells = materialize(drift.record_cells(records), "cells")
-    renames = drift.field_changes(cells, materialize(drift.file_sequence(records), "files"))[1]
-    return drift.replay(materialize(drift.ingest(cells, records), "ingested"), drift.approved_names(renames))
+    table, _, renames = _drifted(spark, sf_dir)
+    return drift.replay(table, drift.approved_names(materialize(renames, "votes"))).drop("parsed", "forms")
 
 
 QUERIES = {
@@ -205,7 +209,7 @@ nv AS (SELECT file_id AS pair, ds, key, arg_min(t, record_no) AS s1, arg_min(coa
 met AS (SELECT o.pair, o.key AS b, n.key AS a, s0, s1, CASE WHEN isnan(q0) THEN NULL ELSE q0 END AS n0, CASE WHEN isnan(q1) THEN NULL ELSE q1 END AS n1
   FROM ov o JOIN nv n ON n.pair = o.pair AND n.ds = o.ds JOIN cmp x ON x.pair = o.pair AND x.key = o.key AND NOT x.has_n JOIN cmp y ON y.pair = n.pair AND y.key = n.key AND NOT y.has_o),
 jd AS (SELECT pair, b, a, n0 = 0 AND n1 = 0 AS zero, CASE WHEN n1 <> 0 AND n0 / n1 > 0 THEN round(log10(n0 / n1) / 3)::INTEGER END AS k, n0, n1, s0, s1 FROM met WHERE (n0 IS NULL) = (n1 IS NULL)),
-ag AS (SELECT *, CASE WHEN n0 IS NOT NULL THEN coalesce(zero OR (abs(k) <= 4 AND abs(n0 / n1 / pow(1000.0, k) - 1) <= 1e-6), false) ELSE lower(s0) = lower(s1) END AS ok FROM jd),
+ag AS (SELECT *, CASE WHEN n0 IS NOT NULL THEN coalesce(zero OR abs(n0 / n1 / pow(1000.0, k) - 1) <= 1e-6, false) ELSE lower(s0) = lower(s1) END AS ok FROM jd),
 pw AS (SELECT pair, b, a, CASE WHEN ok AND NOT coalesce(zero, false) THEN coalesce(k, 0) END AS k, count(*) AS n, count(*) FILTER (WHERE ok) AS ok FROM ag GROUP BY ALL),
 sc AS (SELECT pair, b, a, sum(n) AS n, coalesce(max(ok) FILTER (WHERE k IS NOT NULL), 0) + coalesce(sum(ok) FILTER (WHERE k IS NULL), 0) AS ok,
   coalesce(arg_max(k, (ok, -abs(k), k)) FILTER (WHERE k IS NOT NULL), 0) AS k FROM pw GROUP BY pair, b, a),
