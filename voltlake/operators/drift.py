@@ -23,33 +23,33 @@ NUMBER_WITH_UNIT = r"^\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)
 
 RECORD = ["file_id", "record_no"]
 FIELDS = "map<string,variant>"
+CELLS = "array<struct<key:string,kind:string,scalar:string,num:double>>"
 
 #: The target schema: field -> type; whole numbers from zero are the only castable longs.
 TARGETS = {"sample_interval": "double", "ac_frequency": "double", "total_records": "long"}
 
 
-def _kind(value: Column) -> Column:
-    """number, text, object, list or boolean; null for a JSON null."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(value.isNull(), F.lit(None)).when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "list").when(shape == "STRING", "text")
-        .when(shape == "BOOLEAN", "boolean").when(shape != "VOID", "number")
+def _cells(fields: Column) -> Column:
+    """(key, kind, scalar, num) of each field of a map. ``kind`` is number, text, object,
+    list or boolean, null for a JSON null; ``scalar`` the text of the value itself, within
+    an object or list too, null for no value; ``num`` its number, with or without unit.
+    Each step is taken once for a value."""
+    shaped = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.schema_of_variant(e["value"]).alias("shape")))
+    kind = lambda s: (
+        F.when(s.startswith("OBJECT"), "object").when(s.startswith("ARRAY"), "list").when(s == "STRING", "text").when(s == "BOOLEAN", "boolean").when(s != "VOID", "number")
     )
+    kinds = F.transform(shaped, lambda c: F.struct(c["key"].alias("key"), c["value"].alias("value"), kind(c["shape"]).alias("kind")))
 
+    def inner(value: Column, what: Column) -> Column:
+        within = F.coalesce(F.when(what == "object", F.try_variant_get(value, "$.value", "string")).otherwise(F.try_variant_get(value, "$[0]", "string")), F.to_json(value))
+        return F.trim(F.when(what.isin("object", "list"), within).otherwise(F.try_variant_get(value, "$", "string")))
 
-def _scalar(value: Column) -> Column:
-    """The text of the value itself, within an object or list too; null for no value."""
-    kind = _kind(value)
-    inner = (
-        F.when(kind == "object", F.coalesce(F.try_variant_get(value, "$.value", "string"), F.to_json(value)))
-        .when(kind == "list", F.coalesce(F.try_variant_get(value, "$[0]", "string"), F.to_json(value)))
-        .otherwise(F.try_variant_get(value, "$", "string"))
+    texts = F.transform(kinds, lambda c: F.struct(c["key"].alias("key"), c["kind"].alias("kind"), inner(c["value"], c["kind"]).alias("t")))
+    scalars = F.transform(texts, lambda c: F.struct(c["key"].alias("key"), c["kind"].alias("kind"), F.when(~F.lower(c["t"]).isin(*NO_VALUE), c["t"]).alias("scalar")))
+    number = lambda c: F.when(c["kind"] == "number", c["scalar"].try_cast("double")).otherwise(
+        F.nullif(F.regexp_extract(c["scalar"], NUMBER_WITH_UNIT, 1), F.lit("")).try_cast("double")
     )
-    return F.when(~F.lower(F.trim(inner)).isin(*NO_VALUE), F.trim(inner))
-
-
-def _number(scalar: Column) -> Column:
-    return F.nullif(F.regexp_extract(scalar, NUMBER_WITH_UNIT, 1), F.lit("")).try_cast("double")
+    return F.transform(scalars, lambda c: F.struct(c["key"].alias("key"), c["kind"].alias("kind"), c["scalar"].alias("scalar"), number(c).alias("num")))
 
 
 def _cast(num: Column, kind: str, tolerance: float = 0.0) -> Column:
@@ -78,13 +78,14 @@ def ingest(records: DataFrame, targets: dict[str, str] = TARGETS, payload: str =
     once = records.groupBy(*RECORD).agg(F.min("logger_id").alias("logger_id"), F.min("written_at").alias("written_at"), F.min(payload).alias("_payload"))
     sound = F.coalesce(F.schema_of_variant(F.try_parse_json("_payload")).startswith("OBJECT"), F.lit(False))
     rows = once.withColumn("parsed", sound).withColumn("_m", F.when(F.col("parsed"), F.from_json("_payload", FIELDS)))
-    value = {t: F.try_element_at("_m", F.lit(t)) for t in targets}
-    rows = rows.withColumns({f"_n_{t}": _cast(_number(_scalar(v)), targets[t]) for t, v in value.items()})
+    rows = rows.withColumn("_c", F.filter(_cells(F.map_filter("_m", lambda k, _: k.isin(*targets))), lambda c: c["num"].isNotNull()))
+    mine = {t: F.get(F.filter("_c", lambda c: c["key"] == t), 0) for t in targets}
+    rows = rows.withColumns({f"_n_{t}": _cast(c["num"], targets[t]) for t, c in mine.items()})
     cast = {t: F.col(f"_n_{t}").isNotNull() for t in targets}
     stays = F.map_filter("_m", lambda k, v: k != name_field)
     for t, c in cast.items():
         stays = F.when(c, _without(stays, F.lit(t))).otherwise(stays)
-    forms = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("k"), F.when(cast[t], _kind(v)).alias("v")) for t, v in value.items()]), lambda e: e["v"].isNotNull()))
+    forms = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(t).alias("k"), F.when(cast[t], c["kind"]).alias("v")) for t, c in mine.items()]), lambda e: e["v"].isNotNull()))
     rescued = F.when(F.col("parsed"), _object(stays)).otherwise(F.to_json(F.struct(F.col("_payload").alias("unparsed"))))
     name = F.try_variant_get(F.try_element_at("_m", F.lit(name_field)), "$", "string")
     return rows.select(*RECORD, "logger_id", "written_at", "parsed", name.alias("dataset"), *[F.col(f"_n_{t}").cast(k).alias(t) for t, k in targets.items()], forms.alias("forms"), rescued.alias("rescued"))
@@ -97,12 +98,7 @@ def field_cells(table: DataFrame, targets: dict[str, str] = TARGETS) -> DataFram
     number = {t: F.col(t).cast("double") for t in targets}
     typed = F.filter(F.array(*[cell(F.lit(t), F.try_element_at("forms", F.lit(t)), n.cast("string"), n) for t, n in number.items()]), lambda c: c["kind"].isNotNull())
     fields = F.when(F.col("parsed"), F.from_json("rescued", FIELDS))
-    others = F.transform(F.map_entries(fields), lambda e: F.struct(e["key"].alias("key"), _kind(e["value"]).alias("kind"), _scalar(e["value"]).alias("scalar")))
-    others = F.transform(others, lambda c: cell(c["key"], c["kind"], c["scalar"], _number(c["scalar"])))
-    return table.select(*RECORD, "dataset", F.explode(F.concat(typed, F.coalesce(others, F.array().cast(_CELLS)))).alias("c")).select(*RECORD, "dataset", "c.*")
-
-
-_CELLS = "array<struct<key:string,kind:string,scalar:string,num:double>>"
+    return table.select(*RECORD, "dataset", F.explode(F.concat(typed, F.coalesce(_cells(fields), F.array().cast(CELLS)))).alias("c")).select(*RECORD, "dataset", "c.*")
 
 
 def file_sequence(records: DataFrame) -> DataFrame:
@@ -227,12 +223,12 @@ def replay(table: DataFrame, names: DataFrame, targets: dict[str, str] = TARGETS
     of several castable ones the first by name. Only the value that was stored leaves the
     rescue column; all others stay there unchanged."""
     fields = F.when(F.col("parsed"), F.from_json("rescued", FIELDS))
-    cells = table.select(*RECORD, "logger_id", F.explode(fields).alias("key", "value"))
+    cells = table.select(*RECORD, "logger_id", F.explode(_cells(fields)).alias("c")).select(*RECORD, "logger_id", "c.key", "c.num")
     mine = small_side(names.where(F.col("logger_id").isNotNull()).select(F.col("logger_id").alias("_l"), F.col("key").alias("_k"), F.struct("target", "power").alias("own")))
     anyone = small_side(names.where(F.col("logger_id").isNull()).select("key", F.struct("target", "power").alias("other")))
     met = cells.join(mine, (cells["logger_id"] == mine["_l"]) & (cells["key"] == mine["_k"]), "left").join(anyone, "key", "left")
     met = met.withColumn("as", F.coalesce("own", "other")).where(F.col("as").isNotNull())
-    num = _number(_scalar(F.col("value"))) * F.pow(F.lit(1000.0), F.col("as.power"))
+    num = F.col("num") * F.pow(F.lit(1000.0), F.col("as.power"))
     met = met.select(*RECORD, "key", F.col("as.target").alias("target"), num.alias("num"))
     typed = {t: F.when(F.col("target") == t, _cast(F.col("num"), kind, 1e-6)) for t, kind in targets.items()}
     best = [F.min(F.when(v.isNotNull(), F.struct("key", v.alias("v")))).alias(f"_{t}") for t, v in typed.items()]
