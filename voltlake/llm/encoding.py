@@ -48,10 +48,18 @@ EDGE = " \\t\\n“”‘’\"'«»"
 _CHAR = re.compile(r"(?s)(?<![^\x00-\x7f])([\x00-\x7f]?)([^\x00-\x7f]+)(?=([\x00-\x7f]?))")
 
 
+#: Neighbours of scripts with thousands of signs count as one, so that contexts are at
+#: most the signs times some thousand neighbours, however large the corpus.
+WIDE = "~w"
+
+
 def _side(ch: str) -> str:
-    """A neighbour as it counts: letters and non-ASCII signs stand for themselves."""
+    """A neighbour as it counts: letters and non-ASCII signs up to Cyrillic and among
+    punctuation and symbols stand for themselves."""
     if not ch:
         return "^"
+    if ch >= "\u0530" and not "\u2000" <= ch < "\u2c00" and ch != LOST:
+        return WIDE
     if ch > "\x7f" or ch.isalpha():
         return ch
     return "0" if ch.isdigit() else " " if ch.isspace() else "."
@@ -73,7 +81,8 @@ def _contexts(before: str, run: str, after: str) -> list[tuple[str, str, str]]:
 def context_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(before, sign, after, docs): in how many documents a non-ASCII sign stands between
     such neighbours. One small row set per batch is added up; its size follows the
-    alphabet, not the documents. The row with an empty sign counts the documents."""
+    alphabet, not the documents. The row with an empty sign counts the documents. Pure
+    ASCII texts do not leave the JVM."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[tuple, list] = {}
@@ -91,11 +100,13 @@ def context_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                             known[run] = found
                     seen.update(found)
                 total.update(seen)
-                total["", "", ""] += 1
         if total:
             yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["before", "sign", "after", "docs"])
 
-    parts = docs.select(text).mapInPandas(count, "before string, sign string, after string, docs long")
+    held = docs.select(text).where(F.length(text) > 0)
+    parts = held.where(F.octet_length(text) > F.length(text)).mapInPandas(count, "before string, sign string, after string, docs long")
+    empty = [F.lit("").alias(c) for c in ("before", "sign", "after")]
+    parts = parts.unionByName(held.agg(F.count("*").alias("docs")).select(*empty, "docs"))
     return parts.groupBy("before", "sign", "after").agg(F.sum("docs").alias("docs"))
 
 
@@ -308,5 +319,5 @@ def damaged_texts(docs: DataFrame, counts: DataFrame, key: str = "doc_id", text:
                 rows.append((k, whole, LOST not in whole, len(spans), ",".join(sorted({s for _, _, s, _ in spans}))))
             yield pd.DataFrame(rows, columns=[key, "restored", "recovered", "spans", "states"])
 
-    found = docs.select(key, text).mapInPandas(label, f"{key} long, restored string, recovered boolean, spans int, states string")
+    found = docs.select(key, text).where(F.octet_length(text) > F.length(text)).mapInPandas(label, f"{key} long, restored string, recovered boolean, spans int, states string")
     return found.dropDuplicates([key])

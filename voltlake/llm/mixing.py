@@ -29,16 +29,18 @@ def source_name(column):
 
 
 def token_counts(docs: DataFrame, keep: list[str], text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """Adds ``tokens``: the number of tokens of the whole text; null and empty have none."""
+    """Adds ``tokens``: the number of tokens of the whole text; null and empty have none.
+    The tokenizer's file is read by the driver and sent to the executors."""
     schema = docs.select(*keep)
+    with open(tokenizer, "rb") as file:  # a vocabulary file of at most a few MB
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
 
         import tiktoken
 
-        with open(tokenizer, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())}
         encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             out = batch[keep].copy()
