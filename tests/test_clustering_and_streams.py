@@ -132,7 +132,7 @@ def test_crossings_windows_and_phase(spark, monkeypatch, chunk):
     at = [i for i, p in phase.items() if p is not None]
     want = np.array([(i / 50 * 360 + np.degrees(0.3)) % 360 for i in at])
     off = np.abs(np.array([phase[i] for i in at]) - want) % 360
-    assert len(at) > 400 and np.minimum(off, 360 - off).max() < 1.0
+    assert len(at) == 500 and np.minimum(off, 360 - off).max() < 1.0
 
 
 def test_wavelet_blocks_agree_with_the_whole(spark):
@@ -179,3 +179,9 @@ def test_mutual_information(spark):
     df = spark.createDataFrame(rows, "ds int, y int, same double, noise double, flat double, none double")
     got = {r["feature"]: r["information"] for r in analytics.mutual_information(df, "ds", "y", ["same", "noise", "flat", "none"]).collect()}
     assert got["same"] == pytest.approx(1.0) and got["noise"] < 0.05 and got["flat"] == 0.0 and "none" not in got
+
+
+def test_phase_needs_two_crossings(spark):
+    rows = [("one", i, float(i - 5)) for i in range(10)] + [("flat", i, 1.0) for i in range(5)]
+    got = streams.zero_crossing_phase(spark.createDataFrame(rows, "ch string, i long, x double"), "ch", "i", "x").collect()
+    assert len(got) == 15 and all(r["phase"] is None for r in got)

@@ -55,7 +55,7 @@ def test_tone_and_silence():
     assert silent["cumulative_energy_area_ratio"] == 1.0
 
 
-@pytest.mark.parametrize("n", [1, 2, 7, 50, 51, 64, 125])
+@pytest.mark.parametrize("n", [1, 2, 7, 50, 51, 64, 125, 2000])
 def test_any_length(n):
     w = np.random.default_rng(n).normal(size=(3, n))
     assert set(k.pulse_features(w, DT)) == set(k.pulse_features(np.zeros((1, 64)), DT))
@@ -64,6 +64,48 @@ def test_any_length(n):
         assert 0 <= lo <= hi <= n
 
 
+def block(n, *spans):
+    w = np.zeros(n)
+    for lo, hi, size in spans:
+        w[lo:hi] = size
+    return w
+
+
+@pytest.mark.parametrize(
+    ("method", "want"),
+    [
+        ("original", (0, 1000)), ("rise_fall", (391, 448)), ("energy90", (391, 448)), ("energy95", (390, 448)), ("peak0.5us", (338, 462)), ("peak1.0us", (276, 524)),
+        ("peak2.0us", (151, 649)), ("adaptive_shrink", (391, 448)),
+    ],
+)
+def test_window_bounds_by_hand(method, want):
+    """Forty equal samples from 400: edges at 400 and 439, 9 samples of padding to either
+    side; the energy margins are two samples (one), the buffer ten. A microsecond is just
+    below 250 samples in floating point, so widths are 124, 249 and 499."""
+    assert k.window_bounds(block(1000, (400, 440, 1.0)), DT, method) == want
+
+
+def test_smart_windows_by_hand():
+    rng = np.random.default_rng(4)
+    w = rng.normal(0, 1e-3, 2000)
+    w[900:940] += 1.0
+    lo, hi = k.window_bounds(w, DT, "smart3x")
+    assert lo < 900 and hi > 940
+    assert k.window_bounds(w, DT, "isolated2x1.0us")[1] - k.window_bounds(w, DT, "isolated2x1.0us")[0] >= 250
+    assert k.window_bounds(w[:99], DT, "smart2x") == (0, 99)  # shorter than two edges
+    noise = rng.normal(0, 1.0, 400)
+    top = int(k.gaussian(k.envelope(noise[None, :]), 3.0)[0].argmax())
+    assert k.smart_bounds(noise, DT, 1e3, 0.5) == (max(0, top - 62), min(400, top + 62))
+    assert k.smart_bounds(noise, DT, 1e3, None) == (max(0, top - 49), min(400, top + 49))
+
+
+def test_the_least_window_stops_before_another_pulse():
+    w = block(1000, (300, 310, 1.0), (480, 490, 0.8)) + np.random.default_rng(0).normal(0, 1e-4, 1000)
+    lo, hi = k.window_bounds(w, DT, "isolated2x1.0us")
+    other = int(k.pulse_peaks(w, DT)[-1])
+    assert lo < 300 < 310 < hi <= other - 10
+
+
 def test_two_pulses_far_and_near():
     n = 1000
     for gap, count in ((250, 2), (75, 1)):

@@ -96,3 +96,12 @@ def test_every_rule_can_hold_and_fail(spark, rule):
     text = classify.score_texts(names, [r])[r.score]
     df = spark.createDataFrame([tuple(v[i] for v in features.values()) for i in (0, 1)], ", ".join(f"{n} double" for n in names))
     assert [x[0] for x in df.select(F.expr(text)).collect()] == [r.points, 0.0]
+
+
+def test_unclustered_pulses_are_noise(spark):
+    rows = spark.createDataFrame([(-1, 10.0), (0, 10.0)], "cluster int, phase_spread double")
+    got = {r["cluster"]: (r["pd_type"], r["confidence"], r["code"]) for r in classify.classified(rows).withColumn("code", classify.type_code(F.col("pd_type"))).collect()}
+    assert got[-1] == ("NOISE", 0.95, 0)
+    assert got[0][0] != "NOISE" or got[0][1] != 0.95
+    other = spark.createDataFrame([("SURFACE",), ("else",), (None,)], "t string").select(classify.type_code(F.col("t")).alias("c"))
+    assert [r["c"] for r in other.collect()] == [3, 4, 4]

@@ -256,61 +256,94 @@ def _wavelets(w: np.ndarray, deepest: int = 5) -> dict[str, np.ndarray]:
     return out
 
 
+#: Window methods: name -> (kind, its parameter, least window in microseconds).
+WINDOW_METHODS = {
+    "original": ("whole", 0.0, 0.0), "rise_fall": ("rise_fall", 0.0, 0.0), "energy90": ("energy", 0.90, 0.0), "energy95": ("energy", 0.95, 0.0),
+    "peak0.5us": ("peak", 0.5, 0.0), "peak1.0us": ("peak", 1.0, 0.0), "peak2.0us": ("peak", 2.0, 0.0), "adaptive_shrink": ("shrink", 0.5, 0.0), "derivative": ("derivative", 2.0, 0.0),
+    "smart3x": ("smart", 3.0, 0.0), "smart5x": ("smart", 5.0, 0.0), "smart2x": ("smart", 2.0, 0.0), "padded0.5us": ("padded", 3.0, 0.5), "padded1.0us": ("padded", 3.0, 1.0),
+    "isolated2x1.0us": ("isolated", 2.0, 1.0), "isolated2x0.5us": ("isolated", 2.0, 0.5), "isolated3x1.0us": ("isolated", 3.0, 1.0),
+}
+
+
 def window_bounds(w: np.ndarray, dt: float, method: str) -> tuple[int, int]:
     """(start, end) of the part of one baselined waveform that a method keeps."""
+    kind, value, least_us = WINDOW_METHODS[method]
     n = len(w)
     a = np.abs(w)
-    top = a.max(initial=0.0)
-    if n == 0 or top == 0 or method == "original":
+    if kind == "whole" or n == 0:
         return 0, n
-    p = int(a.argmax())
-    if method == "rise_fall":
-        over = np.flatnonzero(a > 0.1 * top)
-        extra = int((over[-1] - over[0]) * 0.25)
-        return max(0, over[0] - extra), min(n, over[-1] + extra + 1)
-    if method.startswith("energy"):
-        part = int(method[6:]) / 100
+    if kind == "peak":
+        half = int(value * 1e-6 / dt) // 2
+        return _around(int(a.argmax()), half, n)
+    if kind == "energy":
         cum = np.cumsum(w * w)
-        lo, hi = np.searchsorted(cum, cum[-1] * (1 - part) / 2), np.searchsorted(cum, cum[-1] * (1 + part) / 2)
-        extra = int((hi - lo) * 0.1)
-        return max(0, int(lo) - extra), min(n, int(hi) + extra + 1)
-    if method.startswith("peak"):
-        half = max(1, int(float(method[4:]) * 1e-6 / dt / 2))
-        return max(0, p - half), min(n, p + half)
-    if method == "derivative":
-        if n < 2:
+        if cum[-1] == 0:
+            return 0, n
+        margin = (1 - value) / 2
+        lo, hi = (int(x) for x in np.searchsorted(cum / cum[-1], [margin, 1 - margin]))
+        extra = max(10, (hi - lo) // 10)
+        return max(0, lo - extra), min(n, hi + extra)
+    if kind == "derivative":
+        slope = np.abs(np.diff(gaussian(a[None, :], value)[0]))
+        steep = np.flatnonzero(slope > 0.05 * slope.max()) if n > 1 else []
+        return (max(0, int(steep[0]) - 20), min(n, int(steep[-1]) + 20)) if len(steep) else (0, n)
+    if kind == "shrink":
+        found = pulse_peaks(w, dt, separation_us=value)
+        if len(found) > 1:
+            main = int(found[a[found].argmax()])
+            return _around(main, max(50, int(np.abs(found[found != main] - main).min()) // 2), n)
+    if kind in ("rise_fall", "shrink"):
+        over = np.flatnonzero(a > 0.1 * a.max())
+        if not len(over):
             return 0, n
-        slope = np.abs(np.gradient(gaussian(a[None, :], 2.0)[0]))
-        over = np.flatnonzero(slope > 0.05 * slope.max()) if slope.max() > 0 else np.array([0, n - 1])
-        return max(0, int(over[0]) - 20), min(n, int(over[-1]) + 21)
-    if method.startswith("smart"):
-        return smart_bounds(w, dt, float(method[5:] or 2))
-    raise ValueError(f"unknown window method: {method}")
+        extra = int((over[-1] - over[0]) * 0.25)
+        return max(0, int(over[0]) - extra), min(n, int(over[-1]) + extra)
+    lo, hi = smart_bounds(w, dt, value, least_us if kind == "isolated" else None)
+    if kind == "padded" and hi - lo < int(least_us * 1e-6 / dt):
+        return _around(lo + int(a[lo:hi].argmax()), int(least_us * 1e-6 / dt) // 2, n)
+    return lo, hi
 
 
-WINDOW_METHODS = ("original", "rise_fall", "energy90", "energy95", "peak0.1", "peak0.2", "derivative", "smart2", "smart3", "smart5")
+def _around(at: int, half: int, n: int) -> tuple[int, int]:
+    return max(0, at - half), min(n, at + half)
 
 
-def smart_bounds(w: np.ndarray, dt: float, snr: float = 2.0, edge: int = 50, least_us: float = 0.05, separation_us: float = 0.5) -> tuple[int, int]:
+def smart_bounds(w: np.ndarray, dt: float, snr: float = 2.0, least_us: float | None = 1.0, edge: int = 50, separation_us: float = 0.5) -> tuple[int, int]:
     """The part of one waveform around its main pulse where the smoothed envelope exceeds
-    ``snr`` times the quieter edge's RMS; other pulses are cut off half way."""
+    ``snr`` times the quieter edge's RMS (a silent edge counts as 1 % of the top).
+
+    With ``least_us`` the window has that width at least and never crosses ten samples
+    before another pulse; without it the window may. Waveforms of fewer than two edges
+    are kept whole; where nothing exceeds the limit, a small window at the top is kept.
+    """
     n = len(w)
-    edge = min(edge, max(1, n // 4))
+    if n < 2 * edge:
+        return 0, n
     floor = min(np.sqrt(np.mean(w[:edge] ** 2)), np.sqrt(np.mean(w[-edge:] ** 2)))
+    limit = snr * (floor if floor >= 1e-10 else 0.01 * np.abs(w).max())
     env = gaussian(envelope(w[None, :]), 3.0)[0]
-    p = int(env.argmax())
-    over = env > snr * floor
-    if not over[p]:
-        return 0, n
-    quiet = np.flatnonzero(~over)
-    left, right = quiet[quiet < p], quiet[quiet > p]
-    lo, hi = (int(left[-1]) + 1 if len(left) else 0), (int(right[0]) if len(right) else n)
-    for q in pulse_peaks(w, dt, separation_us=separation_us):
-        if q < p and q >= lo:
-            lo = max(lo, (q + p) // 2)
-        elif q > p and q < hi:
-            hi = min(hi, (q + p) // 2 + 1)
-    short = int(least_us * 1e-6 / dt) - (hi - lo)
-    if short > 0:
-        lo, hi = max(0, lo - short // 2), min(n, hi + short - short // 2)
-    return lo, hi
+    top = int(env.argmax())
+    least = int((least_us or 0.0) * 1e-6 / dt)
+    if not env[top] > limit:
+        return _around(top, max(25, least // 2 if least_us is not None else int(0.2e-6 / dt)), n)
+    quiet = np.flatnonzero(env < limit)
+    found = pulse_peaks(w, dt, separation_us=separation_us)
+    if len(found) > 1:
+        main = int(found[env[found].argmax()])
+        left, right = found[found < main], found[found > main]
+        before, after = quiet[quiet <= main], quiet[quiet >= main]
+        lo = int(before[-1]) if len(before) else int(left[0]) + 10 if len(left) else main
+        hi = int(after[0]) if len(after) else int(right[0]) - 10 if len(right) else main
+        extra = max(10, int(0.1e-6 / dt))
+        if least_us is None:
+            return max(0, lo - extra), min(n, hi + extra)
+        first, last = (int(left[-1]) + 10 if len(left) else 0), (int(right[0]) - 10 if len(right) else n)
+        lo, hi = max(first, lo - extra), min(last, hi + extra)
+        return (lo, hi) if hi - lo >= least else (max(first, main - least // 2), min(last, main + least // 2))
+    before = quiet[quiet <= top]
+    lo = int(before[-1]) if len(before) else 0
+    # the end is where the envelope stays low, not a dip
+    hi = next((int(i) for i in quiet[quiet >= top] if env[i : i + 50].max() < 1.5 * limit), n - 1)
+    extra = max(10, (hi - lo) // 10)
+    lo, hi = max(0, lo - extra), min(n, hi + extra)
+    return (lo, hi) if hi - lo >= least else _around(top, least // 2, n)

@@ -97,6 +97,10 @@ RULES = (
     _r("internal", 1, Test("repetition_rate", 60.0, 20.0, 100.0, closed=True)),
 )
 
+# The codes of the types; rows without a cluster bear this label.
+TYPE_CODES = {"NOISE": 0, "NOISE_MULTIPULSE": 5, "CORONA": 1, "INTERNAL": 2, "SURFACE": 3, "UNKNOWN": 4}
+NO_CLUSTER = -1
+
 # Fixed values of the decision: least scores and the most that each can reach.
 NOISE_LIMIT, SURFACE_LIMIT, PAIR_LIMIT = 0.35, 8.0, 15.0
 SURFACE_MOST, PAIR_MOST = 24.0, 31.0
@@ -140,7 +144,7 @@ def score_texts(columns: Sequence[str], rules: Sequence[Rule] = RULES) -> dict[s
 
 def decision_texts(columns: Sequence[str], noise: str = "", surface: str = "", pair: str = "") -> dict[str, str]:
     """SQL expressions for ``pd_type`` and ``confidence`` from the score columns; the
-    least scores may be columns too."""
+    least scores may be columns too. A ``cluster`` of -1 is what no cluster took: noise."""
     noise_limit, surface_limit, pair_limit = noise or num(NOISE_LIMIT), surface or num(SURFACE_LIMIT), pair or num(PAIR_LIMIT)
 
     def get(feature: str, default: float) -> str:
@@ -153,7 +157,8 @@ def decision_texts(columns: Sequence[str], noise: str = "", surface: str = "", p
     kept = f"(({get('spectral_power_low', 0.0)} > 5e-1 OR {get('amplitude_phase_correlation', 0.0)} > 3e-1) AND {spread} > 80)"
     like_corona = f"({get('oscillation_count', 0.0)} > 20 AND {get('slew_rate', 1e9)} < 1e6)"
     skip = f"({spread} > {SPREAD_LIMIT} AND ({like_corona} OR {get('spectral_power_low', 0.0)} > 7e-1))"
-    steps = [
+    steps = [(f"cluster = {NO_CLUSTER}", "'NOISE'", "9.5e-1")] if "cluster" in columns else []
+    steps += [
         (f"{many} AND NOT {kept}", "'NOISE_MULTIPULSE'", "9e-1"),
         (f"round({noise}, 9) >= {noise_limit}", "'NOISE'", f"least(5e-1 + {noise}, 9.5e-1)"),
         (f"{spread} > {SPREAD_LIMIT} AND NOT {skip}", "'SURFACE'", "8.5e-1"),
@@ -177,6 +182,11 @@ def classified(groups, rules: Sequence[Rule] = RULES):
     return scored.select("*", *[F.expr(text).alias(name) for name, text in decision_texts(columns).items()])
 
 
+def type_code(kind: Column) -> Column:
+    """The number of a type; that of UNKNOWN for any other name."""
+    return F.coalesce(*[F.when(kind == k, n) for k, n in TYPE_CODES.items()], F.lit(TYPE_CODES["UNKNOWN"]))
+
+
 def confusion(rows, expected: str, predicted: str, weight: Column | None = None):
     """(expected, predicted, n) with totals where either is null (all types)."""
     n = F.sum(weight if weight is not None else F.lit(1))

@@ -189,20 +189,20 @@ def dbscan(rows: DataFrame, group: str, key: str, columns: Sequence[str], eps: D
 
 def silhouette(rows: DataFrame, group: str, cluster: str, columns: Sequence[str]) -> DataFrame:
     """(group, n, silhouette): mean silhouette with squared distances. Mean distances to
-    a cluster follow from its sums, so rows meet clusters, not each other. Rows without
-    a cluster do not count; groups of one cluster have none; clusters of one row score 0."""
+    a cluster follow from its sums, so a row meets its group's list of clusters, not other
+    rows. Rows without a cluster do not count; groups of one cluster have none; clusters
+    of one row score 0."""
     x2 = sum((F.col(c) * F.col(c) for c in columns), F.lit(0.0))
     base = rows.where(F.col(cluster).isNotNull()).select(F.col(group).alias("g"), F.col(cluster).alias("k"), *columns, x2.alias("x2"))
-    facts = base.groupBy("g", "k").agg(F.count("*").alias("n"), F.avg("x2").alias("y2"), *[F.avg(c).alias(f"m_{c}") for c in columns])
-    facts = small_side(facts.withColumnsRenamed({"g": "fg", "k": "fk"}))
-    base = base.withColumn("_id", F.monotonically_increasing_id())
-    met = base.join(facts, base["g"].eqNullSafe(facts["fg"]))
-    dot = sum((F.col(c) * F.col(f"m_{c}") for c in columns), F.lit(0.0))
-    mean = F.greatest(F.col("x2") - 2 * dot + F.col("y2"), F.lit(0.0))
-    mine = F.col("k") == F.col("fk")
-    scored = met.groupBy("g", "_id").agg(
-        F.max(F.when(mine & (F.col("n") > 1), mean * F.col("n") / (F.col("n") - 1))).alias("a"), F.min(F.when(~mine, mean)).alias("b"), F.max(F.when(mine, F.col("n"))).alias("n")
-    )
+    facts = base.groupBy("g", "k").agg(F.count("*").alias("n"), F.avg("x2").alias("y2"), F.array(*[F.avg(c) for c in columns]).alias("m"))
+    lists = facts.groupBy(F.col("g").alias("fg")).agg(F.collect_list(F.struct("k", "n", "y2", "m")).alias("clusters"))
+    lists = small_side(materialize(lists, "clusters"))
+    met = base.join(lists, base["g"].eqNullSafe(lists["fg"]))
+    dot = lambda f: sum((F.col(c) * F.get(f["m"], F.lit(i)) for i, c in enumerate(columns)), F.lit(0.0))
+    mean = lambda f: F.greatest(F.col("x2") - 2 * dot(f) + f["y2"], F.lit(0.0))
+    own = F.get(F.filter("clusters", lambda f: f["k"] == F.col("k")), F.lit(0))
+    other = F.array_min(F.transform(F.filter("clusters", lambda f: f["k"] != F.col("k")), mean))
+    scored = met.withColumn("f", own).select("g", F.col("f.n").alias("n"), F.when(F.col("f.n") > 1, mean(F.col("f")) * F.col("f.n") / (F.col("f.n") - 1)).alias("a"), other.alias("b"))
     top = F.greatest("a", "b")
     s = F.when(F.col("n") == 1, 0.0).when(top > 0, (F.col("b") - F.col("a")) / F.when(top > 0, top)).otherwise(0.0)
     return scored.where(F.col("b").isNotNull()).groupBy("g").agg(F.count("*").alias("n"), F.avg(s).alias("silhouette")).withColumnRenamed("g", group)

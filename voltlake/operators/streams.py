@@ -120,8 +120,9 @@ def wavelet_events(coefficients: DataFrame, channel: str, percentile: float = 0.
 
 def zero_crossing_phase(samples: DataFrame, channel: str, index: str, value: str) -> DataFrame:
     """(channel, index, phase): 0 to 360 degrees between rising zero crossings of the
-    reference less its mean, as-of joined by windows over ranges of the channel.
-    Samples before the first or after the last crossing have null phases."""
+    reference less its mean, as-of joined by windows over ranges of the channel. Samples
+    before the first or after the last crossing go on with the first or last period;
+    channels of fewer than two crossings have null phases."""
     means = small_side(samples.groupBy(channel).agg(F.avg(value).alias("_m")).withColumnRenamed(channel, "_mc"))
     rows = samples.join(means, samples[channel].eqNullSafe(means["_mc"])).withColumn("_r", F.col(value) - F.col("_m")).drop("_mc", "_m")
     near = with_neighbour(rows, channel, index, "_r").withColumnRenamed("_before", "_p")
@@ -138,13 +139,32 @@ def zero_crossing_phase(samples: DataFrame, channel: str, index: str, value: str
     edges = edges.withColumn("_in", F.last("_z1", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1))).withColumn(
         "_out", F.last("_z0", ignorenulls=True).over(after.rowsBetween(Window.unboundedPreceding, -1))
     )
-    e = small_side(edges.select(F.col(channel).alias("_ec"), F.col("_chunk").alias("_ek"), "_in", "_out"))
+    ends = _end_crossings(marked, channel, "_chunk", "_z")
+    edges = edges.join(ends, edges[channel].eqNullSafe(ends["_dc"]), "left")
+    e = small_side(edges.select(F.col(channel).alias("_ec"), F.col("_chunk").alias("_ek"), "_in", "_out", "_first", "_second", "_last", "_prior"))
     full = marked.join(e, marked[channel].eqNullSafe(e["_ec"]) & (marked["_chunk"] == e["_ek"]))
     left, right = F.coalesce("_left", "_in"), F.coalesce("_right", "_out")
-    phase = F.when(right > left, (F.col(index) - left) / (right - left) * 360)
+    phase = (
+        F.when(right > left, (F.col(index) - left) / (right - left) * 360)
+        .when(left.isNull(), F.pmod((F.col(index) - F.col("_first")) / (F.col("_second") - F.col("_first")) * 360, F.lit(360.0)))
+        .otherwise(F.pmod((F.col(index) - F.col("_last")) / (F.col("_last") - F.col("_prior")) * 360, F.lit(360.0)))
+    )
     return full.select(channel, index, phase.alias("phase"))
 
 
+def _end_crossings(marked: DataFrame, channel: str, chunk: str, z: str) -> DataFrame:
+    """(_dc, _first, _second, _prior, _last): the outer crossings of each channel that has
+    two at least, from the two lowest and two highest of each range."""
+    hit = marked.where(F.col(z).isNotNull()).select(channel, chunk, z)
+    lowest = hit.withColumn("_r", F.row_number().over(Window.partitionBy(channel, chunk).orderBy(z)))
+    highest = hit.withColumn("_r", F.row_number().over(Window.partitionBy(channel, chunk).orderBy(F.desc(z))))
+    few = lowest.where(F.col("_r") <= 2).unionByName(highest.where(F.col("_r") <= 2)).select(channel, z).distinct()
+    up = few.withColumn("_r", F.row_number().over(Window.partitionBy(channel).orderBy(z))).where(F.col("_r") <= 2)
+    down = few.withColumn("_r", F.row_number().over(Window.partitionBy(channel).orderBy(F.desc(z)))).where(F.col("_r") <= 2)
+    a = up.groupBy(F.col(channel).alias("_dc")).agg(F.min(z).alias("_first"), F.max(z).alias("_second"), F.count("*").alias("_n")).where(F.col("_n") == 2).drop("_n")
+    b = down.groupBy(F.col(channel).alias("_db")).agg(F.min(z).alias("_prior"), F.max(z).alias("_last"))
+    return a.join(b, a["_dc"].eqNullSafe(b["_db"])).drop("_db")
+
 
 def pulse_rate_threshold(
     samples: DataFrame, channel: str, index: str, value: str, levels: DataFrame, per_cycle: int, target: float, lowest: float = 3.0, highest: float = 20.0, step: float = 0.1

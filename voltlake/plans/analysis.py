@@ -40,6 +40,38 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.kmeans(log_scaled(spark, sf_dir), "acquisition_id", "pulse_key", AXES)
 
 
+def _pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scaled pulses, their k-means clusters, statistics and means of each cluster, and
+    its type. Pulses that cannot be scaled are in no cluster (-1)."""
+    labels = materialize(clustering.kmeans(log_scaled(spark, sf_dir), "acquisition_id", "pulse_key", AXES).select("pulse_key", F.col("cluster").alias("label")), "labels")
+    rows = p.pulses(spark, sf_dir, *p._TYPE_MEANS, *SUMMARY).join(labels, "pulse_key", "left")
+    rows = materialize(rows.withColumn("cluster", F.coalesce("label", F.lit(classify.NO_CLUSTER))).drop("label"), "clustered")
+    clean = lambda c: F.when(F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), None).otherwise(F.col(c))
+    means = rows.groupBy(*p.KEYS).agg(*[digits(f(clean(c)), 6).alias(f"{n}_{c}") for c in SUMMARY for n, f in (("avg", F.avg), ("std", F.stddev))])
+    typed = p.typed_groups(spark, sf_dir, rows).join(means, p.KEYS)
+    return materialize(typed.withColumn("pd_type_code", classify.type_code(F.col("pd_type"))), "typed")
+
+
+#: Features that the summary of clusters describes.
+SUMMARY = ("absolute_amplitude", "rise_time", "fall_time", "energy", "dominant_frequency")
+
+
+def pipeline_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each k-means cluster of an acquisition with its size, features, type and confidence."""
+    facts = [f"{n}_{c}" for c in SUMMARY for n in ("avg", "std")]
+    return _pipeline(spark, sf_dir).select(*p.KEYS, F.col("total_pulse_count").cast("long").alias("n_pulses"), "phase_spread", "phase_of_max_activity", *facts, "pd_type", "pd_type_code", F.round("confidence", 6).alias("confidence"))
+
+
+def pipeline_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each acquisition with its clusters by type, and the type that most of its pulses have."""
+    typed = _pipeline(spark, sf_dir).select("acquisition_id", "cluster", "pd_type", F.col("total_pulse_count").cast("long").alias("n"), "confidence")
+    by_type = typed.groupBy("acquisition_id", "pd_type").agg(F.count("*").alias("clusters"), F.sum("n").alias("n"), F.sum(F.col("n") * F.col("confidence")).alias("c"))
+    main = F.max_by("pd_type", F.struct("n", "pd_type"))
+    return by_type.groupBy("acquisition_id").agg(
+        F.sum("clusters").alias("n_clusters"), F.sum("n").alias("n_pulses"), main.alias("main_type"), (F.max("n") / F.sum("n")).alias("main_share"), (F.sum("c") / F.sum("n")).alias("mean_confidence")
+    )
+
+
 def neighbour_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbourhood radius of each acquisition: 60th percentile of 5-th neighbours."""
     rows = log_scaled(spark, sf_dir)
@@ -119,7 +151,7 @@ def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "kmeans_clusters": kmeans_clusters, "neighbour_eps": neighbour_eps, "dbscan_clusters": dbscan_clusters, "cluster_quality": cluster_quality,
+    "kmeans_clusters": kmeans_clusters, "pipeline_clusters": pipeline_clusters, "pipeline_summary": pipeline_summary, "neighbour_eps": neighbour_eps, "dbscan_clusters": dbscan_clusters, "cluster_quality": cluster_quality,
     "principal_components": principal_components, "feature_recommendation": feature_recommendation, "feature_anova": feature_anova, "feature_information": feature_information,
     "type_confusion": type_confusion, "threshold_search": threshold_search,
 }

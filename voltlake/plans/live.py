@@ -15,7 +15,10 @@ def live_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Detection events per day and detector, computed by Structured Streaming."""
     stream = events.event_stream(spark, sf_dir)
     finite = stream.withColumn("amplitude", F.when(F.abs("amplitude") < F.lit(float("inf")), F.col("amplitude")))
-    got = events.run_to_table(events.windowed(finite, late="36500 days"), spark)
+    # files come in any order, so an event may be as late as all of them span
+    first, last = read_table(spark, sf_dir, "detection_events").agg(F.min("detected_at"), F.max("detected_at")).first()
+    span = (last - first).days + 1 if first is not None else 1
+    got = events.run_to_table(events.windowed(finite, late=f"{span} days"), spark)
     return got.select(F.to_date("window_start").alias("day"), "source", "n", digits(F.col("total")).alias("total"), digits(F.col("highest")).alias("highest"))
 
 

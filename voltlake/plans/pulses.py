@@ -139,9 +139,13 @@ _TYPE_MEANS = ("absolute_amplitude", "slew_rate", "dominant_frequency", "pulse_c
 
 
 def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statistics, mean features and scores of each acquisition and cluster. The means
-    are rounded before they meet a threshold, so that the order of summation cannot."""
-    rows = materialize(pulses(spark, sf_dir, *_TYPE_MEANS), "pulses")
+    return typed_groups(spark, sf_dir, materialize(pulses(spark, sf_dir, *_TYPE_MEANS), "pulses"))
+
+
+def typed_groups(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """Statistics, mean features and scores of each acquisition and cluster of ``rows``.
+    The means are rounded before they meet a threshold, so that the order of summation
+    cannot."""
     stats = prpd.prpd_features(prpd.binned(rows, KEYS, "phase_angle", "signed_amplitude", "trigger_time"), KEYS)
     stats = stats.select(*KEYS, *[F.round(c, 5).alias(c) for c in stats.columns if c not in KEYS])
     clean = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(0.0)).otherwise(F.col(c))

@@ -7,18 +7,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltlake.operators import events, streams
+from voltlake.operators.faults import with_chunks
 from voltlake.plans.pulses import NUDGE, digits
-from voltlake.runtime import materialize, read_table
+from voltlake.runtime import materialize, read_table, small_side
 
 K_SIGMA, DEAD, PRE, POST, CYCLE = 1.2, 10, 4, 12, 60
 _ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(channel, i, x): samples of each channel numbered from 0."""
+    """(channel, i, x): samples of each channel numbered from 0, within ranges of the
+    channel that begin where the ranges before end."""
     rows = read_table(spark, sf_dir, "lineitem").select("l_suppkey", *_ORDER)
-    i = F.row_number().over(Window.partitionBy("l_suppkey").orderBy(*_ORDER)) - 1
-    return materialize(rows.select(F.col("l_suppkey").alias("channel"), i.cast("long").alias("i"), F.col("l_extendedprice").alias("x")), "samples")
+    cut = with_chunks(rows, "l_suppkey", "l_orderkey")
+    sizes = cut.groupBy("l_suppkey", "_chunk").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("l_suppkey").orderBy("_chunk")) - F.col("n")
+    starts = small_side(materialize(sizes.select(F.col("l_suppkey").alias("_s"), F.col("_chunk").alias("_c"), before.alias("_start")), "starts"))
+    inside = F.row_number().over(Window.partitionBy("l_suppkey", "_chunk").orderBy(*_ORDER)) - 1
+    placed = cut.withColumn("_i", inside).join(starts, F.col("l_suppkey").eqNullSafe(F.col("_s")) & (F.col("_chunk") == F.col("_c")))
+    return materialize(placed.select(F.col("l_suppkey").alias("channel"), (F.col("_start") + F.col("_i")).cast("long").alias("i"), F.col("l_extendedprice").alias("x")), "samples")
 
 
 def _crossed(rows: DataFrame) -> DataFrame:
@@ -62,7 +69,7 @@ def stream_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_phase(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Phase of each sample between the rising zero crossings of its channel."""
+    """Phase of each sample by the rising zero crossings of its channel."""
     got = streams.zero_crossing_phase(samples(spark, sf_dir), "channel", "i", "x")
     return got.select("channel", "i", digits(F.col("phase"), 6).alias("phase"))
 
@@ -139,6 +146,9 @@ FROM (SELECT channel, i // {CYCLE} AS cycle, count(*) AS n, kurtosis_pop(x) AS k
 p AS (SELECT *, lag(r) OVER (PARTITION BY channel ORDER BY i) AS p FROM r),
 z AS (SELECT channel, i, CASE WHEN p < 0 AND r >= 0 THEN i - 1 + p / (p - r) END AS z FROM p),
 b AS (SELECT channel, i, last_value(z IGNORE NULLS) OVER (PARTITION BY channel ORDER BY i ROWS UNBOUNDED PRECEDING) AS a,
-  first_value(z IGNORE NULLS) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS c FROM z)
-SELECT channel, i, CASE WHEN c > a THEN {_dig("(i - a) / (c - a) * 360", 6)} END AS phase FROM b""",
+  first_value(z IGNORE NULLS) OVER (PARTITION BY channel ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS c FROM z),
+o AS (SELECT channel, list(z ORDER BY z) AS zs FROM z WHERE z IS NOT NULL GROUP BY channel HAVING count(*) > 1),
+e AS (SELECT channel, zs[1] AS z1, zs[2] AS z2, zs[-2] AS y1, zs[-1] AS y2 FROM o)
+SELECT b.channel, i, {_dig("CASE WHEN c > a THEN (i - a) / (c - a) * 360 WHEN a IS NULL THEN (((i - z1) / (z2 - z1) * 360) % 360 + 360) % 360 ELSE (((i - y2) / (y2 - y1) * 360) % 360 + 360) % 360 END", 6)} AS phase
+FROM b LEFT JOIN e ON e.channel = b.channel""",
 }
