@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
-#: Bytes up to which a side may be broadcast where the session's own threshold is higher.
-BROADCAST_BYTES = 16 << 20
+#: Measured bytes up to which a side is broadcast: the session's threshold, within these
+#: bounds. The threshold is meant for sizes guessed from files; two measured megabytes
+#: are never a burden.
+LEAST_BROADCAST, MOST_BROADCAST = 2 << 20, 16 << 20
 
 #: Folders of the tables that ``materialize`` wrote, by application.
 _WRITTEN: dict[str, list[str]] = {}
@@ -64,10 +66,9 @@ def row_count_up_to(df: DataFrame, limit: int) -> int:
 
 
 def broadcast_limit(spark: SparkSession) -> int:
-    """Bytes that a broadcast side may have: the session's threshold, at most
-    ``BROADCAST_BYTES``; none if the session forbids broadcasts."""
-    text = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
-    return max(0, min(int(text), BROADCAST_BYTES))
+    """Bytes that a broadcast side may have; none if the session forbids broadcasts."""
+    threshold = int(spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold())
+    return 0 if threshold <= 0 else max(LEAST_BROADCAST, min(threshold, MOST_BROADCAST))
 
 
 def small_side(df: DataFrame) -> DataFrame:
