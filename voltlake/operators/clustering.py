@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DoubleType, LongType, StructField, StructType
 
 from voltlake.operators.graph import components
-from voltlake.operators.quantiles import exact_percentiles
+from voltlake.operators.quantiles import exact_percentiles, finite
 from voltlake.runtime import materialize, row_count_up_to, small_side
 
 
@@ -134,11 +135,13 @@ def _near_pairs(points: DataFrame, others: DataFrame, columns: Sequence[str], wi
     return left.join(right, on).withColumn("d2", _square_distance("a_", "b_", columns))
 
 
-def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5, rounds: int = 24) -> DataFrame:
+def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5) -> DataFrame:
     """(group, key, distance) to the k-th nearest row of the group, itself counted; groups
-    of fewer rows have none. Rows that do not find k neighbours within a cell's width
+    of fewer rows have none, nor have rows with a null, NaN or infinite column. Rows that do not find k neighbours within a cell's width
     look again in cells twice as wide, so dense places stay cheap and the result exact:
     the first width is far below that of evenly spread rows, as clusters are dense."""
+    for c in columns:
+        rows = rows.where(finite(F.col(c)))
     base = materialize(rows.select(F.col(group).alias("g"), F.col(key).alias("id"), *columns), "rows")
     sizes = base.groupBy("g").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"r_{c}") for c in columns]).where(F.col("n") >= k)
     span = F.greatest(*[F.col(f"r_{c}") for c in columns])
@@ -148,7 +151,7 @@ def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence
     others = materialize(open_, "points")
     open_ = others
     found = None
-    for n in range(rounds):
+    for n in count():  # ends when a cell holds its whole group
         scale = F.lit(float(2**n))
         pairs = _near_pairs(open_, others, columns, F.col("w") * scale, F.col("w") * scale).where(F.col("d2") <= F.pow(F.col("w") * scale, F.lit(2.0)))
         ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("g", "a").orderBy("d2", "b"))).where(F.col("r") == k)

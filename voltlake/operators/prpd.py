@@ -142,10 +142,12 @@ def prpd_features(bins: DataFrame, keys: Sequence[str], ac_frequency: float = 60
     return wide.select(*keys, *[c.cast("double").alias(k) for k, c in out.items()])
 
 
-def weibull_fit(rows: DataFrame, keys: Sequence[str], value: str, rounds: int = 12) -> DataFrame:
+def weibull_fit(rows: DataFrame, keys: Sequence[str], value: str, rounds: int = 100, tolerance: float = 1e-10) -> DataFrame:
     """(keys..., weibull_alpha, weibull_beta): scale and shape by maximum likelihood over
     the positive finite values; groups of fewer than five have (0, 0), groups of one value
-    that value and shape 0. Each Newton step is one aggregation of all groups."""
+    that value and shape 0. Each Newton step is one aggregation of all groups; steps are
+    taken until no shape moves by more than ``tolerance``, and if ``rounds`` of them do
+    not suffice, that is an error."""
     v = F.col(value)
     logs = rows.where((v > 0) & (v < F.lit(float("inf")))).select(*keys, F.ln(v).alias("l"))
     logs = materialize(logs, "logs")
@@ -170,7 +172,11 @@ def weibull_fit(rows: DataFrame, keys: Sequence[str], value: str, rounds: int =
         f = F.col("s1") / F.col("s0") - 1 / F.col("k")
         slope = F.col("s2") / F.col("s0") - F.pow(F.col("s1") / F.col("s0"), F.lit(2.0)) + 1 / (F.col("k") * F.col("k"))
         nxt = F.greatest(F.col("k") - f / slope, F.col("k") / 3)
-        state = materialize(sums.select(*keys, "n", "mean", nxt.alias("k")), "weibull")
+        state = materialize(sums.select(*keys, "n", "mean", nxt.alias("k"), F.abs(nxt / F.col("k") - 1).alias("step")), "weibull")
+        if not (state.agg(F.max("step")).first()[0] or 0.0) > tolerance:
+            break
+    else:
+        raise ArithmeticError(f"no shape found in {rounds} rounds")
     fitted = with_state(state).groupBy(*keys).agg(F.max("n").alias("n"), F.max("mean").alias("mean"), F.max("k").alias("k"), F.sum(e).alias("s0"))
     fitted = fitted.select(*keys, (F.exp("mean") * F.pow(F.col("s0") / F.col("n"), 1 / F.col("k"))).alias("weibull_alpha"), F.col("k").alias("weibull_beta"))
     rest = start.where(F.col("k").isNull()).select(*keys, F.when(F.col("n") >= 5, F.exp("mean")).otherwise(0.0).alias("weibull_alpha"), F.lit(0.0).alias("weibull_beta"))
