@@ -19,7 +19,8 @@ from voltlake.runtime import materialize, row_count_up_to, small_side
 def _square_distance(a: str, b: str, columns: Sequence[str]) -> Column:
     total = F.lit(0.0)
     for c in columns:
-        total = total + F.pow(F.col(f"{a}{c}") - F.col(f"{b}{c}"), F.lit(2.0))
+        gap = F.col(f"{a}{c}") - F.col(f"{b}{c}")
+        total = total + gap * gap
     return total
 
 
@@ -135,33 +136,79 @@ def _near_pairs(points: DataFrame, others: DataFrame, columns: Sequence[str], wi
     return left.join(right, on).withColumn("d2", _square_distance("a_", "b_", columns))
 
 
-def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """(group, key, distance) to the k-th nearest row of the group, itself counted; groups
-    of fewer rows have none, nor have rows with a null, NaN or infinite column. Rows that do not find k neighbours within a cell's width
-    look again in cells twice as wide, so dense places stay cheap and the result exact:
-    the first width is far below that of evenly spread rows, as clusters are dense."""
+#: Halvings of a group's span that the neighbour search tells apart.
+DEPTH = 16
+
+
+def _distinct_points(rows: DataFrame, group: str, key: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows (g, id, columns), points (g, p, m, columns)): equal rows of a group are one
+    point of weight m, named by their least key."""
     for c in columns:
         rows = rows.where(finite(F.col(c)))
     base = materialize(rows.select(F.col(group).alias("g"), F.col(key).alias("id"), *columns), "rows")
-    sizes = base.groupBy("g").agg(F.count("*").alias("n"), *[(F.max(c) - F.min(c)).alias(f"r_{c}") for c in columns]).where(F.col("n") >= k)
-    span = F.greatest(*[F.col(f"r_{c}") for c in columns])
-    start = F.greatest(span * F.pow(F.lit(float(k)) / F.col("n"), F.lit(1.0 / len(columns))) / 32, F.lit(1e-9))
-    widths = materialize(sizes.select(F.col("g").alias("wg"), start.alias("w")), "widths")
-    open_ = base.join(small_side(widths), base["g"].eqNullSafe(F.col("wg"))).drop("wg")
-    others = materialize(open_, "points")
-    open_ = others
-    found = None
-    for n in count():  # ends when a cell holds its whole group
-        scale = F.lit(float(2**n))
-        pairs = _near_pairs(open_, others, columns, F.col("w") * scale, F.col("w") * scale).where(F.col("d2") <= F.pow(F.col("w") * scale, F.lit(2.0)))
-        ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("g", "a").orderBy("d2", "b"))).where(F.col("r") == k)
-        got = materialize(ranked.select("g", F.col("a").alias("id"), F.sqrt("d2").alias("distance")), "kth")
-        found = got if found is None else found.unionByName(got)
-        rest = materialize(open_.join(got.select("id"), "id", "left_anti"), "open")
-        if not row_count_up_to(rest, 0):
-            break
-        open_ = rest
-    return found.select(F.col("g").alias(group), F.col("id").alias(key), "distance")
+    return base, base.groupBy("g", *columns).agg(F.count("*").alias("m"), F.min("id").alias("p"))
+
+
+def _of_points(base: DataFrame, found: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows with what was found for their points (g, columns, ...)."""
+    right = found.select(F.col("g").alias("_g"), *[F.col(c).alias(f"_{c}") for c in columns], *[c for c in found.columns if c not in ("g", *columns)])
+    on = base["g"].eqNullSafe(right["_g"])
+    for c in columns:
+        on = on & (base[c] == right[f"_{c}"])
+    return base.join(right, on, "left").drop("_g", *[f"_{c}" for c in columns])
+
+
+def _kth(pairs: DataFrame, k: int) -> DataFrame:
+    """(a, d2): of pairs (a, b, m, d2) the square distance within which a has k rows."""
+    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d2", "b"))).where(F.col("r") <= k)
+    lists = near.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("d2", "b", "m"))).alias("l"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("d2"))
+    walk = lambda s, e: F.struct((s["n"] + e["m"]).alias("n"), F.when(s["n"] < k, e["d2"]).otherwise(s["d2"]).alias("d2"))
+    return lists.select("a", F.aggregate("l", start, walk)["d2"].alias("d2"))
+
+
+def neighbour_distances(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int = 5) -> DataFrame:
+    """(group, key, distance) to the k-th nearest row of the group, itself counted; groups
+    of fewer rows have none, nor have rows with a null, NaN or infinite column.
+
+    The span of a group is halved again and again. A point's home is the smallest of its
+    cells with k rows; the k-th distance inside bounds the true one, and a second join
+    looks into the cells that a ball of that radius meets, whose width follows the radius.
+    A home's sparse part holds fewer than k rows, so few points look into a dense cell and
+    the pairs grow with the rows, not with their square. Equal rows are one point.
+    """
+    base, points = _distinct_points(rows, group, key, columns)
+    bounds = [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+    sizes = base.groupBy(F.col("g").alias("wg")).agg(F.count("*").alias("n"), F.min("id").alias("h"), *bounds).where(F.col("n") >= k)
+    # a hair wider than the rows, so that all lie in [0, 1)
+    span = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in columns], F.lit(1e-300)) * (1 + 1e-9)
+    side = small_side(materialize(sizes.select("wg", "h", span.alias("w"), *[f"lo_{c}" for c in columns]), "spans"))
+    units = [((F.col(c) - F.col(f"lo_{c}")) / F.col("w")).alias(f"u_{c}") for c in columns]
+    placed = materialize(points.join(side, F.col("g").eqNullSafe(F.col("wg"))).select("g", "h", "p", "m", "w", *columns, *units), "placed")
+
+    cell = [f"q_{c}" for c in columns]
+    leveled = placed.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(DEPTH))))
+    spots = [F.floor(F.col(f"u_{c}") * F.pow(F.lit(2.0), F.col("l"))).alias(q) for c, q in zip(columns, cell, strict=True)]
+    cells = materialize(leveled.select("h", "l", *spots, "p", "m", *columns), "cells")
+    where = ["h", "l", *cell]
+    full = cells.groupBy(*where).agg(F.sum("m").alias("t")).where(F.col("t") >= k).drop("t")
+    home = cells.join(full, where).groupBy("p").agg(F.max(F.struct("l", "h", *cell)).alias("o")).select("p", "o.*")
+    a_points = home.join(placed.drop("h"), "p").select(*where, F.col("p").alias("a"), "w", *[F.col(f"u_{c}") for c in columns], *[F.col(c).alias(f"a_{c}") for c in columns])
+    a_points = materialize(a_points, "homes")
+    b_points = cells.select(*where, F.col("p").alias("b"), "m", *[F.col(c).alias(f"b_{c}") for c in columns])
+    met = a_points.join(b_points, where).select("a", "b", "m", _square_distance("a_", "b_", columns).alias("d2"))
+    bound = materialize(_kth(met, k).withColumnRenamed("d2", "most"), "bounds")
+
+    ball = a_points.drop(*where[1:]).join(bound, "a").withColumn("r", F.sqrt("most") / F.col("w") * (1 + 1e-9) + 1e-15)
+    ball = ball.withColumn("l", F.least(F.greatest(F.floor(-F.log2("r")), F.lit(0)), F.lit(DEPTH)).cast("int"))
+    scale = F.pow(F.lit(2.0), F.col("l"))
+    for c, q in zip(columns, cell, strict=True):
+        reach = [F.least(F.greatest(F.floor((F.col(f"u_{c}") + way * F.col("r")) * scale), F.lit(0)), scale.cast("long") - 1) for way in (-1, 1)]
+        ball = ball.withColumn(q, F.explode(F.sequence(*reach)))
+    met = ball.drop("w", "r", *[f"u_{c}" for c in columns]).join(b_points, where).withColumn("d2", _square_distance("a_", "b_", columns))
+    found = _kth(met.where(F.col("d2") <= F.col("most")).select("a", "b", "m", "d2"), k)
+    named = placed.join(found, placed["p"] == found["a"]).select("g", *columns, F.sqrt("d2").alias("distance"))
+    return _of_points(base, named, columns).where(F.col("distance").isNotNull()).select(F.col("g").alias(group), F.col("id").alias(key), "distance")
 
 
 def estimate_eps(distances: DataFrame, group: str, percentile: float = 0.6) -> DataFrame:
