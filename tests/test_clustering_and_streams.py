@@ -55,6 +55,56 @@ def test_dbscan_against_all_pairs(spark, frame, blobs):
     assert got[9000] is None and got[9001] is None
 
 
+def hard_rows():
+    """Ties, a dense spot of all core rows, thin rows around it, far rows, and rows that
+    cannot be placed; group 7 has no radius, group None has one."""
+    rng = np.random.default_rng(8)
+    pts = [(0.5, 0.5)] * 30 + [tuple(p) for p in rng.normal(0, 0.02, (150, 2))] + [tuple(p) for p in rng.normal(0, 0.6, (60, 2))]
+    pts += [(9.0, 9.0)] * 4 + [(9.2, 9.0), (-7.0, 3.0)]
+    rows = [(None, i, float(x), float(y)) for i, (x, y) in enumerate(pts)]
+    return rows + [(None, 900, None, 0.0), (None, 901, float("nan"), 0.0), (None, 902, float("inf"), 0.0), (7, 903, 0.0, 0.0)]
+
+
+def test_neighbours_among_ties_and_beside_dense_spots(spark):
+    rows = hard_rows()
+    got = {r["id"]: r["distance"] for r in clustering.neighbour_distances(spark.createDataFrame(rows, "g int, id long, x double, y double"), "g", "id", ["x", "y"], 5).collect()}
+    xy = np.array([r[2:] for r in rows[:-4]])
+    want = np.sort(np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1)), axis=1)[:, 4]
+    assert sorted(got) == list(range(len(xy)))
+    assert all(got[i] == pytest.approx(d) for i, d in enumerate(want))
+
+
+@pytest.mark.parametrize("few", [64, 1])
+@pytest.mark.parametrize("radius", [0.05, 0.3])
+def test_dbscan_of_ties_dense_spots_and_borders(spark, monkeypatch, radius, few):
+    monkeypatch.setattr(clustering, "FEW_PAIRS", few)
+    rows = hard_rows()
+    eps = spark.createDataFrame([(None, radius)], "g int, eps double")
+    got = {r["id"]: r["cluster"] for r in clustering.dbscan(spark.createDataFrame(rows, "g int, id long, x double, y double"), "g", "id", ["x", "y"], eps, 5).collect()}
+    xy = np.array([r[2:] for r in rows[:-4]])
+    gap = xy[:, None] - xy[None]
+    d2 = gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1]
+    near = d2 <= radius * radius
+    core = near.sum(1) >= 5
+    label = np.arange(len(xy))
+    while True:
+        new = np.array([label[near[i] & core].min() if core[i] else i for i in range(len(xy))])
+        if (new == label).all():
+            break
+        label = new
+    for i in range(len(xy)):
+        held = np.flatnonzero(near[i] & core)
+        want = label[i] if core[i] else label[min(held, key=lambda j: (d2[i, j], j))] if len(held) else None
+        assert got[i] == want, i
+    assert all(got[i] is None for i in (900, 901, 902, 903)) and len(got) == len(rows)
+
+
+def test_dbscan_of_no_rows(spark):
+    none = spark.createDataFrame([], "g int, id long, x double")
+    assert clustering.dbscan(none, "g", "id", ["x"], spark.createDataFrame([], "g int, eps double")).count() == 0
+    assert clustering.neighbour_distances(none, "g", "id", ["x"]).count() == 0
+
+
 def test_kmeans_and_silhouette(spark, frame, blobs):
     sound = frame.where("truth >= 0")
     got = clustering.kmeans(sound, "ds", "id", ["x", "y"], k=3, seed=5)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from itertools import count
 
@@ -116,26 +117,6 @@ def kmeans(rows: DataFrame, group: str, key: str, columns: Sequence[str], k: int
     return near.select(F.col("g").alias(group), F.col("id").alias(key), F.col("_n.c").cast("int").alias("cluster"), F.sqrt("_n.d").alias("distance"))
 
 
-def _cells(columns: Sequence[str], width: Column) -> list[Column]:
-    return [F.floor(F.col(c) / width).alias(f"q_{c}") for c in columns]
-
-
-def _near_pairs(points: DataFrame, others: DataFrame, columns: Sequence[str], width: Column, other_width: Column) -> DataFrame:
-    """Pairs (a, b) of points whose cells of the given width touch."""
-    cells = [f"q_{c}" for c in columns]
-    offsets = [()]
-    for _ in columns:
-        offsets = [(*o, d) for o in offsets for d in (-1, 0, 1)]
-    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(f"o{i}") for i, v in enumerate(o)]) for o in offsets]))
-    left = points.select("*", *_cells(columns, width), steps.alias("_o"))
-    left = left.select("g", F.col("id").alias("a"), *[F.col(c).alias(f"a_{c}") for c in columns], *[(F.col(q) + F.col(f"_o.o{i}")).alias(q) for i, q in enumerate(cells)], "w")
-    right = others.select(F.col("g").alias("bg"), F.col("id").alias("b"), *[F.col(c).alias(f"b_{c}") for c in columns], *[x.alias(f"b{q}") for x, q in zip(_cells(columns, other_width), cells, strict=True)])
-    on = left["g"].eqNullSafe(right["bg"])
-    for q in cells:
-        on = on & (left[q] == right[f"b{q}"])
-    return left.join(right, on).withColumn("d2", _square_distance("a_", "b_", columns))
-
-
 #: Halvings of a group's span that the neighbour search tells apart.
 DEPTH = 16
 
@@ -216,25 +197,128 @@ def estimate_eps(distances: DataFrame, group: str, percentile: float = 0.6) -> D
     return exact_percentiles(distances, [group], ["distance"], [percentile]).select(group, F.col("value").alias("eps"))
 
 
+#: Cells to the side of a block in which cells look for each other, and the pairs of points
+#: of two boxes up to which the points themselves are compared.
+BLOCK, FEW_PAIRS = 4, 64
+
+
+def _box(columns: Sequence[str]) -> list[Column]:
+    return [f(c).alias(f"{n}_{c}") for c in columns for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _box_distances(columns: Sequence[str]) -> tuple[Column, Column]:
+    """Least and greatest square distance of points in boxes a and b. Differences and
+    squares round in order, so the bounds hold for the computed distances too."""
+    least, most = F.lit(0.0), F.lit(0.0)
+    for c in columns:
+        right, left = F.col(f"b_lo_{c}") - F.col(f"a_hi_{c}"), F.col(f"a_lo_{c}") - F.col(f"b_hi_{c}")
+        gap, reach = F.greatest(right, left, F.lit(0.0)), F.greatest(F.col(f"b_hi_{c}") - F.col(f"a_lo_{c}"), F.col(f"a_hi_{c}") - F.col(f"b_lo_{c}"))
+        least, most = least + gap * gap, most + reach * reach
+    return least, most
+
+
+def _prefixed(df: DataFrame, prefix: str, names: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
+    return df.select(*keep, *[F.col(n).alias(f"{prefix}{n}") for n in names])
+
+
+def _near_cells(cells: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, w): cells with boxes at most w apart, each with itself too. A cell looks for
+    the others in its block, to which all cells within reach have come."""
+    reach = math.isqrt(len(columns) - 1) + 1
+    cell, blocks = [f"q_{c}" for c in columns], [f"k_{c}" for c in columns]
+    names = ["c", *cell, *[f"{n}_{c}" for c in columns for n in ("lo", "hi")]]
+    home = _prefixed(cells, "a_", names, ["h", "w", *[F.floor(F.col(q) / BLOCK).alias(k) for q, k in zip(cell, blocks, strict=True)]])
+    guest = cells
+    for q, k in zip(cell, blocks, strict=True):
+        guest = guest.withColumn(k, F.explode(F.sequence(F.floor((F.col(q) - reach) / BLOCK), F.floor((F.col(q) + reach) / BLOCK))))
+    met = home.join(_prefixed(guest, "b_", names, ["h", *blocks]), ["h", *blocks])
+    for q in cell:
+        met = met.where(F.abs(F.col(f"a_{q}") - F.col(f"b_{q}")) <= reach)
+    return met.where(_box_distances(columns)[0] <= F.col("w") * F.col("w")).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"), "w")
+
+
+def _linked_cells(near: DataFrame, core: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(u, v): cells of the pairs ``near`` (a, b, w) with core points at most w apart.
+    Boxes settle most pairs; doubtful boxes of few points are compared point by point,
+    others are halved along each column and looked at again."""
+    cell = [f"q_{c}" for c in columns]
+    names = ["c", *cell, "n", *[f"{n}_{c}" for c in columns for n in ("lo", "hi")]]
+    ab = [f"{s}_{q}" for s in "ab" for q in cell]
+    tops = core.select("c", *[F.floor(f"u_{c}").alias(q) for c, q in zip(columns, cell, strict=True)]).distinct()
+    open_ = near.join(_prefixed(tops, "a_", ["c", *cell]), F.col("a") == F.col("a_c")).join(_prefixed(tops, "b_", ["c", *cell]), F.col("b") == F.col("b_c"))
+    open_ = materialize(open_.select("a", "b", "w", *ab), "open")
+    links = None
+    for depth in count():  # ends when each box is settled or one point
+        here = [F.floor(F.col(f"u_{c}") * F.lit(2.0**depth)).alias(q) for c, q in zip(columns, cell, strict=True)]
+        parts = materialize(core.select("c", "p", *columns, *here), "parts")
+        boxes = parts.groupBy("c", *cell).agg(F.count("*").alias("n"), *_box(columns))
+        above = [(F.floor(F.col(q) / 2) if depth else F.col(q)).alias(f"up_{q}") for q in cell]
+        met = open_.select("a", "b", "w", *[F.col(x).alias(f"up_{x}") for x in ab])
+        for side in "ab":
+            kids = boxes.select(*[F.col(n).alias(f"{side}_{n}") for n in names], *[u.alias(f"up_{side}_{q}") for u, q in zip(above, cell, strict=True)])
+            met = met.withColumn(f"{side}_c", F.col(side)).join(kids, [f"{side}_c", *[f"up_{side}_{q}" for q in cell]])
+        least, most = _box_distances(columns)
+        met = met.where(least <= F.col("w") * F.col("w"))
+        met = materialize(met.select("a", "b", "w", *ab, (F.col("a_n") * F.col("b_n")).alias("pairs"), (most <= F.col("w") * F.col("w")).alias("sure")), "boxes")
+        sure = met.where("sure").select("a", "b").distinct()
+        rest = met.join(sure, ["a", "b"], "left_anti")
+        few = rest.where(F.col("pairs") <= FEW_PAIRS)
+        for side in "ab":
+            few = few.join(_prefixed(parts, f"{side}_", [*cell, *columns], [F.col("c").alias(side)]), [side, *[f"{side}_{q}" for q in cell]])
+        close = few.where(_square_distance("a_", "b_", columns) <= F.col("w") * F.col("w")).select("a", "b").distinct()
+        found = materialize(sure.unionByName(close), "links")
+        links = found if links is None else links.unionByName(found)
+        open_ = materialize(rest.where(F.col("pairs") > FEW_PAIRS).join(found, ["a", "b"], "left_anti").select("a", "b", "w", *ab), "open")
+        if not row_count_up_to(open_, 0):
+            return links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
 def dbscan(rows: DataFrame, group: str, key: str, columns: Sequence[str], eps: DataFrame, min_samples: int = 5) -> DataFrame:
     """(group, key, cluster): density clusters named by their least core key; noise is
-    null. Core rows have ``min_samples`` rows within eps, themselves counted; a border
+    null, and so are rows with a null, NaN or infinite column and those of groups without
+    a radius. Core rows have ``min_samples`` rows within eps, themselves counted; a border
     row joins the nearest core row (least key of equals), so the result is the same in
-    any order. Pairs come from an equi join on cells as wide as eps."""
-    side = small_side(eps.select(F.col(group).alias("eg"), F.greatest("eps", F.lit(1e-12)).alias("w")))
-    base = rows.select(F.col(group).alias("g"), F.col(key).alias("id"), *columns)
-    base = materialize(base.join(side, base["g"].eqNullSafe(side["eg"])).drop("eg"), "points")
-    pairs = _near_pairs(base, base, columns, F.col("w"), F.col("w")).where(F.col("d2") <= F.col("w") * F.col("w"))
-    pairs = materialize(pairs.select("a", "b", "d2"), "pairs")
-    core = materialize(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("c")), "core")
-    with_core = pairs.join(core, pairs["b"] == core["c"], "left_semi")
-    both = with_core.where(F.col("a") != F.col("b")).join(core, with_core["a"] == core["c"], "left_semi")
-    labels = components(both.where(F.col("a") < F.col("b")).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = core.join(labels, core["c"] == labels["node"], "left").select("c", F.coalesce("label", "c").alias("label"))
-    nearest = with_core.groupBy("a").agg(F.min(F.struct("d2", "b")).alias("m")).select(F.col("a").alias("id"), F.col("m.b").alias("c"))
-    own = nearest.join(core.select(F.col("c").alias("id"), F.lit(True).alias("is_core")), "id", "left")
-    final = own.select("id", F.when(F.col("is_core"), F.col("id")).otherwise(F.col("c")).alias("c")).join(named, "c")
-    return base.join(final.select("id", F.col("label").alias("cluster")), "id", "left").select(F.col("g").alias(group), F.col("id").alias(key), "cluster")
+    any order. A radius below a billionth of the group's span counts as that.
+
+    Rows of a cell of diagonal eps are all alike: with ``min_samples`` rows all are core.
+    Only rows of thinner cells count their neighbours, and only cells are linked, so
+    dense places do not cost the square of their rows. Equal rows are one point.
+    """
+    base, points = _distinct_points(rows, group, key, columns)
+    span = F.greatest(*[F.max(c) - F.min(c) for c in columns], F.lit(0.0))
+    lows = base.groupBy(F.col("g").alias("lg")).agg(F.min("id").alias("h"), span.alias("span"), *[F.min(c).alias(f"lo_{c}") for c in columns])
+    radius = eps.select(F.col(group).alias("eg"), F.col("eps").alias("e")).where(finite(F.col("e")))
+    side = lows.join(radius, F.col("lg").eqNullSafe(F.col("eg"))).withColumn("w", F.greatest("e", F.lit(1e-12), F.col("span") * 1e-9))
+    side = small_side(materialize(side.select("lg", "h", "w", *[f"lo_{c}" for c in columns]), "radii"))
+    cell = [f"q_{c}" for c in columns]
+    edge = F.col("w") * ((1 - 1e-6) / math.sqrt(len(columns)))
+    placed = points.join(side, F.col("g").eqNullSafe(F.col("lg"))).select("g", "h", "p", "m", "w", *columns, *[((F.col(c) - F.col(f"lo_{c}")) / edge).alias(f"u_{c}") for c in columns])
+    placed = materialize(placed.select("*", *[F.floor(f"u_{c}").alias(q) for c, q in zip(columns, cell, strict=True)]), "placed")
+    cells = materialize(placed.groupBy("h", *cell).agg(F.min("p").alias("c"), F.sum("m").alias("t"), F.max("w").alias("w"), *_box(columns)), "cells")
+    near = materialize(_near_cells(cells, columns), "near")
+    inside = placed.join(cells.select("h", *cell, "c", "t"), ["h", *cell]).select("g", "p", "m", "c", "t", *columns, *[f"u_{c}" for c in columns])
+    inside = materialize(inside, "inside")
+
+    thin = _prefixed(inside.where(F.col("t") < min_samples), "a_", columns, [F.col("c").alias("a"), F.col("p").alias("ap")])
+    others = _prefixed(inside, "b_", columns, [F.col("c").alias("b"), F.col("p").alias("bp"), "m"])
+    met = thin.join(near, "a").join(others, "b").withColumn("d2", _square_distance("a_", "b_", columns))
+    met = materialize(met.where(F.col("d2") <= F.col("w") * F.col("w")).select("ap", "bp", "m", "d2"), "met")
+    dense = met.groupBy(F.col("ap").alias("p")).agg(F.sum("m").alias("n")).where(F.col("n") >= min_samples).select("p")
+    core = materialize(inside.where(F.col("t") >= min_samples).unionByName(inside.join(dense, "p", "left_semi")).select("p", "c", *columns, *[f"u_{c}" for c in columns]), "core")
+
+    held = core.select("c").distinct()
+    ends = near.where(F.col("a") < F.col("b")).join(held.withColumnRenamed("c", "a"), "a", "left_semi").join(held.withColumnRenamed("c", "b"), "b", "left_semi")
+    labels = components(_linked_cells(ends, core, columns))
+    named = core.join(labels, core["c"] == labels["node"], "left").select("p", F.coalesce("label", "c").alias("label"))
+    named = materialize(named, "named")
+    names = named.groupBy("label").agg(F.min("p").alias("cluster"))
+    of_core = materialize(named.join(names, "label").select("p", "cluster"), "of_core")
+    nearest = met.join(of_core.withColumnRenamed("p", "bp"), "bp").groupBy(F.col("ap").alias("p")).agg(F.min(F.struct("d2", "bp", "cluster"))["cluster"].alias("cluster"))
+    border = nearest.join(of_core, "p", "left_anti")
+    found = inside.select("g", "p", *columns).join(of_core.unionByName(border), "p").drop("p")
+    labelled = _of_points(base, found, columns).select(F.col("g").alias("_g"), F.col("id").alias("_id"), "cluster")
+    out = rows.join(labelled, rows[group].eqNullSafe(labelled["_g"]) & (rows[key] == labelled["_id"]), "left")
+    return out.select(rows[group], rows[key], "cluster")
 
 
 def silhouette(rows: DataFrame, group: str, cluster: str, columns: Sequence[str]) -> DataFrame:
