@@ -302,13 +302,17 @@ def dbscan(rows: DataFrame, group: str, key: str, columns: Sequence[str], eps: D
     thin = _prefixed(inside.where(F.col("t") < min_samples), "a_", columns, [F.col("c").alias("a"), F.col("p").alias("ap")])
     others = _prefixed(inside, "b_", columns, [F.col("c").alias("b"), F.col("p").alias("bp"), "m"])
     met = thin.join(near, "a").join(others, "b").withColumn("d2", _square_distance("a_", "b_", columns))
-    met = materialize(met.where(F.col("d2") <= F.col("w") * F.col("w")).select("ap", "bp", "m", "d2"), "met")
+    met = materialize(met.where(F.col("d2") <= F.col("w") * F.col("w")).select("a", "b", "ap", "bp", "m", "d2"), "met")
     dense = met.groupBy(F.col("ap").alias("p")).agg(F.sum("m").alias("n")).where(F.col("n") >= min_samples).select("p")
     core = materialize(inside.where(F.col("t") >= min_samples).unionByName(inside.join(dense, "p", "left_semi")).select("p", "c", *columns, *[f"u_{c}" for c in columns]), "core")
 
-    held = core.select("c").distinct()
-    ends = near.where(F.col("a") < F.col("b")).join(held.withColumnRenamed("c", "a"), "a", "left_semi").join(held.withColumnRenamed("c", "b"), "b", "left_semi")
-    labels = components(_linked_cells(ends, core, columns))
+    # links with a thin cell are among the counted neighbours; two full cells are settled by boxes
+    names = core.select("p")
+    thin_links = met.where(F.col("a") != F.col("b")).join(names.withColumnRenamed("p", "ap"), "ap", "left_semi").join(names.withColumnRenamed("p", "bp"), "bp", "left_semi")
+    thin_links = thin_links.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+    full = cells.where(F.col("t") >= min_samples).select("c")
+    ends = near.where(F.col("a") < F.col("b")).join(full.withColumnRenamed("c", "a"), "a", "left_semi").join(full.withColumnRenamed("c", "b"), "b", "left_semi")
+    labels = components(thin_links.unionByName(_linked_cells(ends, core.join(full, "c", "left_semi"), columns)))
     named = core.join(labels, core["c"] == labels["node"], "left").select("p", F.coalesce("label", "c").alias("label"))
     named = materialize(named, "named")
     names = named.groupBy("label").agg(F.min("p").alias("cluster"))
