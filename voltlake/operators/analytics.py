@@ -74,6 +74,17 @@ def recommended(columns: Sequence[str], matrix: np.ndarray, wanted: int = 5, lim
     return [(c, *of.get(i, (0.0, False))) for i, c in enumerate(columns)]
 
 
+def loadings(columns: Sequence[str], matrix: np.ndarray, most: int = 10) -> list[tuple[int, str, float, float, float]]:
+    """(component from 1, feature, loading, explained share, share of it and all before) of
+    the first ``most`` components; constant features are left out."""
+    live = [i for i in range(len(columns)) if matrix[i, i] > 1e-20]
+    if not live:
+        return []
+    share, vector = components(matrix[np.ix_(live, live)])
+    upto = np.cumsum(share)
+    return [(k + 1, columns[i], float(vector[j, k]), float(share[k]), float(upto[k])) for k in range(min(most, len(live))) for j, i in enumerate(live)]
+
+
 def anova(rows: DataFrame, group: str, label: str, columns: Sequence[str]) -> DataFrame:
     """(group, feature, n, labels, f_value): one-way analysis of variance of each feature
     over the labels within a group; 0 where it is not defined."""

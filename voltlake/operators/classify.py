@@ -118,27 +118,31 @@ def lookup(feature: str, default: float, columns: Sequence[str], prefix: str = "
     return next((c for c in (prefix + feature, feature) if c in columns), None)
 
 
-def score_texts(columns: Sequence[str], rules: Sequence[Rule] = RULES) -> dict[str, str]:
-    """SQL expressions of the scores over the given columns; missing features take the
-    rule's default, and tests whose outcome is then known are folded away."""
-
-    def value(t: Test) -> str:
-        column = lookup(t.feature, t.default, columns)
-        text = f"coalesce({column}, {num(t.default)})" if column else num(t.default)
-        return f"abs({text})" if t.size else text
-
-    def test(t: Test) -> str:
-        less = "<=" if t.closed else "<"
-        parts = []
+def value_text(t: Test, columns: Sequence[str]) -> str:
+    """SQL for the value that a test looks at."""
+    column = lookup(t.feature, t.default, columns)
+    text = f"coalesce({column}, {num(t.default)})" if column else num(t.default)
+    return f"abs({text})" if t.size else text
+
+
+def held_text(rule: Rule, columns: Sequence[str]) -> str:
+    """SQL for whether all tests of a rule hold."""
+    parts = []
+    for t in rule.tests:
+        less, value = "<=" if t.closed else "<", value_text(t, columns)
         if t.low > -INF:
-            parts.append(f"{num(t.low)} {less} {value(t)}")
+            parts.append(f"{num(t.low)} {less} {value}")
         if t.high < INF:
-            parts.append(f"{value(t)} {less} {num(t.high)}")
-        return " AND ".join(parts)
+            parts.append(f"{value} {less} {num(t.high)}")
+    return " AND ".join(parts)
+
 
+def score_texts(columns: Sequence[str], rules: Sequence[Rule] = RULES) -> dict[str, str]:
+    """SQL expressions of the scores over the given columns; missing features take the
+    rule's default, and tests whose outcome is then known are folded away."""
     scores: dict[str, list[str]] = {}
     for r in rules:
-        scores.setdefault(r.score, []).append(f"CASE WHEN {' AND '.join(test(t) for t in r.tests)} THEN {num(r.points)} ELSE 0e0 END")
+        scores.setdefault(r.score, []).append(f"CASE WHEN {held_text(r, columns)} THEN {num(r.points)} ELSE 0e0 END")
     return {k: " + ".join(v) for k, v in scores.items()}
 
 
@@ -182,6 +186,29 @@ def classified(groups, rules: Sequence[Rule] = RULES):
     return scored.select("*", *[F.expr(text).alias(name) for name, text in decision_texts(columns).items()])
 
 
+def rule_outcomes(groups, keys: Sequence[str], rules: Sequence[Rule] = RULES):
+    """(keys..., rule, score, features, value, points): every rule of every group with what
+    its first test looked at, and the points it gave (0 where a test failed)."""
+    columns = groups.columns
+    outcomes = [
+        F.struct(
+            F.lit(i).alias("rule"), F.lit(r.score).alias("score"), F.lit(" ".join(t.feature for t in r.tests)).alias("features"),
+            F.expr(value_text(r.tests[0], columns)).cast("double").alias("value"), F.expr(f"CASE WHEN {held_text(r, columns)} THEN {num(r.points)} ELSE 0e0 END").alias("points"),
+        )
+        for i, r in enumerate(rules)
+    ]
+    return groups.select(*keys, F.inline(F.array(*outcomes)))
+
+
+def recall_by_type(judged, expected: str, predicted: str, weight: Column | None = None):
+    """(expected, n, hits, recall): the share of each expected type that was found as that
+    type; NOISE accepts NOISE_MULTIPULSE. A type without weight has a null recall."""
+    w = weight if weight is not None else F.lit(1)
+    right = F.col(expected).eqNullSafe(F.col(predicted)) | ((F.col(expected) == "NOISE") & (F.col(predicted) == "NOISE_MULTIPULSE"))
+    sums = judged.groupBy(expected).agg(F.sum(w).alias("n"), F.sum(F.when(right, w).otherwise(0)).alias("hits"))
+    return sums.withColumn("recall", F.try_divide("hits", "n"))
+
+
 def type_code(kind: Column) -> Column:
     """The number of a type; that of UNKNOWN for any other name."""
     return F.coalesce(*[F.when(kind == k, n) for k, n in TYPE_CODES.items()], F.lit(TYPE_CODES["UNKNOWN"]))

@@ -144,3 +144,19 @@ def window_comparison(pulses: DataFrame, group: str, waveform: str, dt: float) -
         (1 - F.col("kept") / F.col("whole")).alias("reduction"), (F.col("multi") / F.col("n")).alias("multi_pulse_share"),
     )
 
+
+
+def best_windows(comparison: DataFrame, group: str, whole: str = "original") -> DataFrame:
+    """(group, method, multi_pulse_reduction): the method that leaves the smallest share of
+    windows with several pulses, by how much of the whole waveforms' share it takes away;
+    the first in the order of the methods if several do. Null and 0 where none helps.
+    ``comparison`` is the result of window_comparison."""
+    place = F.coalesce(*[F.when(F.col("method") == m, i) for i, m in enumerate(kernels.WINDOW_METHODS)], F.lit(len(kernels.WINDOW_METHODS)))
+    best = comparison.groupBy(group).agg(
+        F.max(F.when(F.col("method") == whole, F.col("multi_pulse_share"))).alias("_whole"),
+        F.min(F.when(F.col("method") != whole, F.struct(F.col("multi_pulse_share").alias("share"), place.alias("place"), "method"))).alias("_best"),
+    )
+    less = F.col("_best.share") < F.col("_whole")
+    return best.select(
+        group, F.when(less, F.col("_best.method")).alias("method"), F.coalesce(F.when(less, 1 - F.try_divide(F.col("_best.share"), F.col("_whole"))), F.lit(0.0)).alias("multi_pulse_reduction")
+    )

@@ -76,7 +76,7 @@ def neighbour_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The neighbourhood radius of each acquisition: 60th percentile of 5-th neighbours."""
     rows = log_scaled(spark, sf_dir)
     near = materialize(clustering.neighbour_distances(rows, "acquisition_id", "pulse_key", AXES), "near")
-    return clustering.estimate_eps(near, "acquisition_id")
+    return clustering.estimate_eps(near, "acquisition_id").select("acquisition_id", digits(F.col("eps"), 6).alias("eps"))
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -111,6 +111,16 @@ def feature_recommendation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(analytics.recommended(p.FEATURES, matrix), "feature string, importance double, recommended boolean")
 
 
+def component_loadings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loading of each pulse feature on each principal component, with the variance that
+    the component and all before it explain."""
+    rows = p.pulses(spark, sf_dir, *p.FEATURES)
+    zero = lambda c: F.when(F.col(c).isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))), F.lit(0.0)).otherwise(F.col(c))
+    clean = rows.select(*[zero(c).alias(c) for c in p.FEATURES])
+    _, _, matrix = analytics.covariance(clean, p.FEATURES)
+    return spark.createDataFrame(analytics.loadings(p.FEATURES, matrix), "component int, feature string, loading double, explained double, cumulative double")
+
+
 def feature_anova(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F value of each log feature over the polarity clusters of an acquisition."""
     rows = p.pulses(spark, sf_dir, *p.SCALED)
@@ -139,6 +149,12 @@ def type_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.coalesce("expected", F.lit("all")).alias("expected"), F.coalesce("pd_type", F.lit("all")).alias("pd_type"), "n")
 
 
+def type_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pulses of each expected type and the share that was found as it."""
+    got = classify.recall_by_type(_judged(spark, sf_dir), "expected", "pd_type", F.col("total_pulse_count").cast("long"))
+    return got.select("expected", "n", "hits", F.round("recall", 6).alias("recall"))
+
+
 GRID = [(a / 100, float(b), float(c)) for a in (25, 35, 45) for b in (6, 8, 10) for c in (10, 12, 15, 18)]
 
 
@@ -153,7 +169,7 @@ def threshold_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "kmeans_clusters": kmeans_clusters, "pipeline_clusters": pipeline_clusters, "pipeline_summary": pipeline_summary, "neighbour_eps": neighbour_eps, "dbscan_clusters": dbscan_clusters, "cluster_quality": cluster_quality,
     "principal_components": principal_components, "feature_recommendation": feature_recommendation, "feature_anova": feature_anova, "feature_information": feature_information,
-    "type_confusion": type_confusion, "threshold_search": threshold_search,
+    "component_loadings": component_loadings, "type_confusion": type_confusion, "type_recall": type_recall, "threshold_search": threshold_search,
 }
 
 _EXPECTED = "CASE " + " ".join(f"WHEN regexp_matches(lower(dataset), '{pattern}') THEN '{kind}'" for kind, pattern in LABELS) + " ELSE 'UNKNOWN' END"
@@ -162,6 +178,15 @@ _GRID_COLUMNS = [*p.KEYS, *p._PRPD, *(f"mean_{c}" for c in p._TYPE_MEANS), "mean
 _GRID_TYPE = classify.decision_texts(_GRID_COLUMNS, noise="noise_limit", surface="surface_limit", pair="pair_limit")["pd_type"]
 
 SQL = {
+    "neighbour_eps": f"""WITH {p._once(tuple(_OF.values()))}, l AS (SELECT acquisition_id, pulse_key, {", ".join(f"ln({c}) AS {a}" for a, c in _OF.items())} FROM once
+  WHERE {" AND ".join(f"{c} > 0 AND isfinite({c})" for c in _OF.values())}),
+m AS (SELECT acquisition_id, {", ".join(f"avg({a}) AS m_{a}, stddev_pop({a}) AS s_{a}" for a in AXES)} FROM l GROUP BY acquisition_id),
+z AS (SELECT acquisition_id, pulse_key, {", ".join(f"CASE WHEN s_{a} > 0 THEN ({a} - m_{a}) / s_{a} ELSE 0 END AS {a}" for a in AXES)} FROM l JOIN m USING (acquisition_id)),
+d AS (SELECT a.acquisition_id, a.pulse_key, list_sort(min({" + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in AXES)}, 5)) AS near FROM z a JOIN z b USING (acquisition_id) GROUP BY a.acquisition_id, a.pulse_key)
+SELECT acquisition_id, {p._dig("quantile_cont(sqrt(near[5]), 0.6)", 6)} AS eps FROM d WHERE len(near) = 5 GROUP BY acquisition_id""",
+    "type_recall": _JUDGED
+    + """ SELECT expected, CAST(sum(total_pulse_count) AS BIGINT) AS n, CAST(sum(h) AS BIGINT) AS hits, CAST(round(sum(h) / sum(total_pulse_count), 6) AS DOUBLE) AS recall
+FROM (SELECT *, CASE WHEN pd_type = expected OR (expected = 'NOISE' AND pd_type = 'NOISE_MULTIPULSE') THEN total_pulse_count ELSE 0 END AS h FROM ju) GROUP BY expected""",
     "feature_anova": f"""WITH {p._once(p.SCALED)}, l AS ({" UNION ALL ".join(f"SELECT acquisition_id, cluster, '{c}' AS feature, ln({c}) AS v FROM once WHERE {c} > 0 AND isfinite({c})" for c in p.SCALED)}),
 g AS (SELECT acquisition_id, feature, cluster, count(*) AS n, avg(v) AS m, var_pop(v) AS s FROM l GROUP BY ALL),
 w AS (SELECT acquisition_id, feature, sum(n)::BIGINT AS n, count(*) AS labels, sum(n * m) AS t, sum(n * m * m) AS q, sum(n * s) AS wi FROM g GROUP BY ALL)

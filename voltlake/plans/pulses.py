@@ -57,7 +57,8 @@ ROUGH = {
 def weibull(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weibull scale and shape of the amplitudes of each acquisition and cluster."""
     rows = pulses(spark, sf_dir).withColumn("size", F.abs("signed_amplitude"))
-    return prpd.weibull_fit(rows, KEYS, "size")
+    got = prpd.weibull_fit(rows, KEYS, "size")
+    return got.select(*KEYS, *[digits(F.col(c), 6).alias(c) for c in ("weibull_alpha", "weibull_beta")])
 
 
 def cluster_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,6 +164,12 @@ def discharge_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select(*KEYS, *[F.round(s, 6).alias(s) for s in scores], "pd_type", F.round("confidence", 6).alias("confidence"))
 
 
+def type_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule saw in each cluster of an acquisition, and the points it gave."""
+    got = classify.rule_outcomes(_typed(spark, sf_dir), KEYS)
+    return got.select(*KEYS, "rule", "score", "features", (F.round("value", 6) + 0.0).alias("value"), "points")
+
+
 def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters, pulses and mean confidence per type, with a total."""
     typed = _typed(spark, sf_dir)
@@ -173,7 +180,7 @@ def type_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "phase_histogram": phase_histogram, "prpd_features": prpd_features, "weibull": weibull, "cluster_means": cluster_means, "noise_floor": noise_floor,
     "normalized_features": normalized_features, "scaled_features": scaled_features, "feature_correlation": feature_correlation,
-    "discharge_types": discharge_types, "type_summary": type_summary,
+    "discharge_types": discharge_types, "type_diagnosis": type_diagnosis, "type_summary": type_summary,
 }
 
 # ---- the same in SQL
@@ -261,6 +268,31 @@ _FLOORS_SQL = """fl AS (SELECT acquisition_id, max(sensor_id) AS sensor_id, coun
 floors AS (SELECT fl.*, adc_step_v, greatest(adc_step_v, least - adc_step_v) AS floor FROM fl JOIN sensors USING (sensor_id))"""
 
 
+#: Newton steps from the first shape; the operator stops by itself, in far fewer.
+_STEPS = 40
+
+_WEIBULL = f"""WITH RECURSIVE {_once(())}, l AS (SELECT acquisition_id, cluster, ln(abs(signed_amplitude)) AS l FROM once WHERE abs(signed_amplitude) > 0 AND isfinite(signed_amplitude)),
+g AS (SELECT acquisition_id, cluster, count(*) AS n, avg(l) AS mean, stddev_pop(l) AS sd, list(l) AS ls FROM l GROUP BY ALL),
+y AS (SELECT *, list_transform(ls, lambda v: v - mean) AS ys FROM g WHERE n >= 5 AND sd > 1e-9),
+k AS (SELECT acquisition_id, cluster, n, mean, ys, 0 AS step, pi() / sqrt(6) / sd AS k FROM y UNION ALL
+  SELECT acquisition_id, cluster, n, mean, ys, step + 1, greatest(k - (s1 / s0 - 1 / k) / (s2 / s0 - pow(s1 / s0, 2) + 1 / (k * k)), k / 3) FROM (
+    SELECT *, list_sum(list_transform(ys, lambda v: exp(k * v))) AS s0, list_sum(list_transform(ys, lambda v: v * exp(k * v))) AS s1,
+      list_sum(list_transform(ys, lambda v: v * v * exp(k * v))) AS s2 FROM k WHERE step < {_STEPS})),
+r AS (SELECT acquisition_id, cluster, exp(mean) * pow(list_sum(list_transform(ys, lambda v: exp(k * v))) / n, 1 / k) AS a, k AS b FROM k WHERE step = {_STEPS}
+  UNION ALL SELECT acquisition_id, cluster, CASE WHEN n >= 5 THEN exp(mean) ELSE 0 END, 0 FROM g WHERE n < 5 OR sd <= 1e-9)
+SELECT acquisition_id, cluster, {_dig("a", 6)} AS weibull_alpha, {_dig("b", 6)} AS weibull_beta FROM r"""
+
+
+def _diagnosis_sql() -> str:
+    columns = [*KEYS, *_PRPD, *(f"mean_{c}" for c in _TYPE_MEANS), "mean_signal_to_noise_ratio"]
+    parts = [
+        f"""SELECT acquisition_id, cluster, {i}::INTEGER AS rule, '{r.score}' AS score, '{" ".join(t.feature for t in r.tests)}' AS features,
+  CAST(round({classify.value_text(r.tests[0], columns)}, 6) + 0.0 AS DOUBLE) AS value, CASE WHEN {classify.held_text(r, columns)} THEN {classify.num(r.points)} ELSE 0e0 END AS points FROM al"""
+        for i, r in enumerate(classify.RULES)
+    ]
+    return _types_sql() + " UNION ALL ".join(parts)
+
+
 def _types_sql() -> str:
     stats = ", ".join(f"round({v}, 5) AS {k}" for k, v in _PRPD.items())
     means = ", ".join(f"{_dig(f'avg({_zero(c)})', 6)} AS mean_{c}" for c in _TYPE_MEANS)
@@ -280,6 +312,8 @@ _SCORES = list(dict.fromkeys(r.score for r in classify.RULES))
 _PAIRS = [(a, b) for i, a in enumerate(SCALED) for b in SCALED[i + 1 :]]
 
 SQL = {
+    "weibull": _WEIBULL,
+    "type_diagnosis": _diagnosis_sql(),
     "phase_histogram": f"WITH {_once(())}, {_BINS_SQL} SELECT acquisition_id, cluster, bin, count(*) AS n_pulses FROM b GROUP BY ALL",
     "prpd_features": f"WITH {_once(())}, {_BINS_SQL}, {_PRPD_BASE} SELECT acquisition_id, cluster, "
     + ", ".join((f"round({v}, 5)" if k not in ROUGH else _dig(v, 6)) + f" AS {k}" for k, v in _PRPD.items()) + " FROM h",

@@ -39,7 +39,12 @@ def window_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return waveforms.window_comparison(_waves(spark, sf_dir), "dataset", "waveform", DT)
 
 
-QUERIES = {"waveform_basics": waveform_basics, "waveform_features": waveform_features, "waveform_polarity": waveform_polarity, "window_methods": window_methods}
+def window_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window method of each data set that leaves the fewest windows of several pulses."""
+    return waveforms.best_windows(window_methods(spark, sf_dir), "dataset")
+
+
+QUERIES = {"window_best": window_best, "waveform_basics": waveform_basics, "waveform_features": waveform_features, "waveform_polarity": waveform_polarity, "window_methods": window_methods}
 
 
 def _dig(e: str) -> str:
@@ -64,4 +69,16 @@ s AS (SELECT pulse_id, w, list_max(w) AS hi, list_min(w) AS lo, greatest(abs(lis
   coalesce(list_sum(list_transform(list_filter(w, lambda v: v < 0), lambda v: v * v)), 0) AS dn FROM b),
 r AS (SELECT *, sqrt(e / len(w)) AS rms FROM s)
 SELECT pulse_id, {", ".join(f"{_dig(v)} AS {k}" for k, v in _BASIC.items())} FROM r""",
+    "waveform_polarity": """WITH d AS (SELECT vec_id AS pulse_id, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings),
+b AS (SELECT pulse_id, list_transform(x, lambda v: v - CASE WHEN len(x) > 50 THEN list_sum(x[1:50]) / 50 ELSE list_sum(x) / len(x) END) AS w FROM d WHERE len(x) > 0),
+t AS (SELECT *, list_max(w) AS hi, list_min(w) AS lo, greatest(list_max(w), -list_min(w)) AS top, w[1:CASE WHEN len(w) > 50 THEN 50 ELSE 10 END] AS head FROM b),
+p AS (SELECT *, CASE WHEN abs(hi) >= abs(lo) THEN 1 ELSE -1 END AS pk,
+  coalesce(list_min(list_filter(range(2, len(w)), lambda i: w[i] > w[i - 1] AND w[i] > w[i + 1] AND w[i] >= 0.2 * top)), 1000000) AS up,
+  coalesce(list_min(list_filter(range(2, len(w)), lambda i: w[i] < w[i - 1] AND w[i] < w[i + 1] AND -w[i] >= 0.2 * top)), 1000000) AS dn,
+  coalesce(list_sum(list_transform(list_filter(w, lambda v: v > 0), lambda v: v * v)), 0) AS eu, coalesce(list_sum(list_transform(list_filter(w, lambda v: v < 0), lambda v: v * v)), 0) AS ed,
+  greatest(3 * sqrt(list_sum(list_transform(head, lambda v: pow(v - list_sum(head) / len(head), 2))) / len(head)), 0.05 * top) AS lim FROM t),
+s AS (SELECT *, list_min(list_filter(range(1, len(w) + 1), lambda i: abs(w[i]) > lim)) AS st FROM p)
+SELECT pulse_id, pk::INTEGER AS peak, CASE WHEN top = 0 OR up <= dn THEN 1 ELSE -1 END::INTEGER AS first_peak, CASE WHEN list_sum(w) >= 0 THEN 1 ELSE -1 END::INTEGER AS integrated_charge,
+  CASE WHEN eu >= ed THEN 1 ELSE -1 END::INTEGER AS energy_weighted, CASE WHEN hi < 0 OR lo >= 0 THEN pk WHEN eu >= ed THEN 1 ELSE -1 END::INTEGER AS dominant_half_cycle,
+  CASE WHEN top = 0 THEN 1 WHEN st IS NULL OR len(w) - (st - 1) < 3 THEN pk WHEN w[st] > 0 THEN 1 ELSE -1 END::INTEGER AS initial_slope FROM s""",
 }
