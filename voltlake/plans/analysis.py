@@ -5,22 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.operators import analytics, classify, clustering
+from voltlake.operators import analytics, classify, clustering, labels
 from voltlake.plans import pulses as p
 from voltlake.plans.pulses import digits
 from voltlake.runtime import materialize, read_table
 
 AXES = ("z_amplitude", "z_rise", "z_frequency")
 _OF = {"z_amplitude": "absolute_amplitude", "z_rise": "rise_time", "z_frequency": "dominant_frequency"}
-#: First pattern that a data set's name matches gives its type.
+#: Patterns for the names of these data sets; the usual ones are in operators.labels.
 LABELS = (("SURFACE", "surface|insulator|bushing|termination"), ("CORONA", "corona|needle|busbar"), ("INTERNAL", "internal|void|joint|stator"), ("NOISE", "noise|background"))
 
 
 def label_of(name: Column) -> Column:
-    out = F.lit("UNKNOWN")
-    for kind, pattern in reversed(LABELS):
-        out = F.when(F.lower(name).rlike(pattern), kind).otherwise(out)
-    return out
+    return labels.label_of(name, [(kind, (pattern,)) for kind, pattern in LABELS])
 
 
 def log_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
