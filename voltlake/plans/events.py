@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltlake.operators import classify, events
+from voltlake.operators import classify, events, windows
 from voltlake.plans.pulses import NUDGE, digits
 from voltlake.runtime import materialize, once_per_key, read_table
 
@@ -37,6 +37,12 @@ def event_dead_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.dead_time(once(spark, sf_dir), "acquisition_id", "sample_index", DEAD_TIME)
 
 
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of each acquisition whose band's window (at 250 million samples a second)
+    begins behind the window kept before."""
+    return windows.kept_windows(once(spark, sf_dir), "acquisition_id", "sample_index", "event_id", "band")
+
+
 def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = materialize(once(spark, sf_dir), "events")
     trigger, wavelet = rows.where(F.col("source") == "trigger"), rows.where(F.col("source") == "wavelet")
@@ -121,7 +127,7 @@ def knee_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "event_merge": event_merge, "event_dead_time": event_dead_time, "detector_match": detector_match, "band_confusion": band_confusion,
+    "event_windows": event_windows, "event_merge": event_merge, "event_dead_time": event_dead_time, "detector_match": detector_match, "band_confusion": band_confusion,
     "band_statistics": band_statistics, "phase_average": phase_average, "phase_hotspots": phase_hotspots, "phase_kurtosis": phase_kurtosis,
     "robust_threshold": robust_threshold, "knee_threshold": knee_threshold,
 }
@@ -148,7 +154,13 @@ c AS (SELECT acquisition_id, count(*) AS n_values, quantile_cont(x, 0.5) AS base
 d AS (SELECT v.acquisition_id, abs(x - baseline) AS f FROM v JOIN c USING (acquisition_id)),
 e AS (SELECT acquisition_id, quantile_cont(f, 0.5) AS mad FROM d GROUP BY acquisition_id)"""
 
+_PRE, _POST = ("CASE band " + " ".join(f"WHEN '{b}' THEN {w[i]}" for b, w in windows.BAND_WINDOWS.items()) + " END" for i in (0, 1))
+
 SQL = {
+    "event_windows": f"""WITH RECURSIVE {_ONCE}, w AS (SELECT acquisition_id, event_id, sample_index, band, sample_index - {_PRE} AS s, sample_index + {_POST} AS e FROM once WHERE sample_index - {_PRE} >= 0),
+k AS (SELECT acquisition_id, min({{'i': sample_index, 'k': event_id, 's': s, 'e': e, 'b': band}}) AS o FROM w GROUP BY acquisition_id UNION ALL
+  SELECT k.acquisition_id, (SELECT min({{'i': sample_index, 'k': event_id, 's': s, 'e': e, 'b': band}}) FROM w WHERE w.acquisition_id = k.acquisition_id AND w.s > k.o.e) FROM k WHERE k.o IS NOT NULL)
+SELECT acquisition_id, o.k AS event_id, o.i AS sample_index, o.b AS band, o.s AS start, o.e AS stop FROM k WHERE o IS NOT NULL""",
     "event_merge": f"""WITH {_ONCE}, o AS (SELECT *, CASE WHEN sample_index - lag(sample_index) OVER w > {MERGE_GAP} OR lag(sample_index) OVER w IS NULL THEN 1 ELSE 0 END AS f
   FROM once WHERE sample_index IS NOT NULL WINDOW w AS (PARTITION BY acquisition_id ORDER BY sample_index, event_id)),
 c AS (SELECT *, sum(f) OVER (PARTITION BY acquisition_id ORDER BY sample_index, event_id ROWS UNBOUNDED PRECEDING) AS g FROM o)
